@@ -56,7 +56,7 @@ def shown(df: DataFrame, digits: int | None = None, *only: str) -> DataFrame:
 @query
 def read_items(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "items-csv")
-    t.raw_items.select("increment_id", "Customer ID", "created_at", "sku", "qty_ordered", "payment_method", "status").write.option("header", True).csv(path)
+    t.raw_items.select("increment_id", "Customer ID", "created_at", "sku", "qty_ordered", "payment_method", "status").write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
     return item_files.read_items(t.spark, path).drop("_ord").withColumnRenamed("Customer ID", "customer_id")
 
 
@@ -278,7 +278,7 @@ def inference_features(t: Tables) -> DataFrame:
 
 @query
 def model_frame(t: Tables) -> DataFrame:
-    return shown(features.model_frame(t.history, ["order_id"]), 6)
+    return shown(features.model_frame(t.history, ["order_id"]), 9)
 
 
 @query
@@ -305,7 +305,7 @@ def score_batch(t: Tables) -> DataFrame:
     scored = scoring.scored_orders(t.history, scoring.by_expression(scoring.softsign_score), 0.41)
     return shown(scored.select(
         "order_id", "cancellation_probability", "risk_level", "expected_avoidable_cost", "expected_false_positive_cost",
-        "net_expected_savings", "recommendation"), 9)
+        "net_expected_savings", "recommendation"))
 
 
 @query
@@ -363,7 +363,7 @@ def traffic_population(t: Tables) -> DataFrame:
 
 @query
 def order_snapshot(t: Tables) -> DataFrame:
-    return shown(t.orders, 6)
+    return shown(t.orders, 9)
 
 
 @query
@@ -560,7 +560,7 @@ def prediction_summary(t: Tables) -> DataFrame:
 
 @query
 def feature_baseline(t: Tables) -> DataFrame:
-    return shown(explain.baseline_table(t.history), 6)
+    return shown(explain.baseline_table(t.history), 9)
 
 
 @query

@@ -48,7 +48,7 @@ SELECT
   CASE WHEN month(o_orderdate) = 1 AND day(o_orderdate) = 1 THEN 'not a date'
        ELSE strftime(o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)), '%Y-%m-%d %H:%M:%S') END AS created_at,
   CAST(l_partkey AS VARCHAR) AS sku,
-  l_extendedprice / l_quantity AS price,
+  l_extendedprice AS price,
   CASE WHEN p_brand = 'Brand#13' AND l_tax = 0.08 THEN '0' WHEN p_brand = 'Brand#13' AND l_tax = 0.0 THEN 'two'
        ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS qty_ordered,
   CASE WHEN o_totalprice < 2500 THEN -o_totalprice ELSE o_totalprice END AS grand_total,
@@ -286,15 +286,15 @@ SELECT g.*, CASE WHEN qualified THEN 0.25::DOUBLE * val_roc_auc + 0.25::DOUBLE *
   + 0.15::DOUBLE * CASE WHEN high = low THEN 1.0::DOUBLE ELSE (val_net_savings_per_1000_orders - low) / (high - low) END END AS score
 FROM d_gates g, d_money_range"""
 TABLES["d_model_events"] = """
-SELECT model_id, 'REGISTER' AS event, min(o_orderdate) AS at FROM d_nations GROUP BY 1
+SELECT model_id, 'REGISTER' AS event, min(o_orderdate) AS "at" FROM d_nations GROUP BY 1
 UNION ALL SELECT model_id, 'CANDIDATE', o_orderdate FROM d_nations WHERE o_totalprice > 400000
 UNION ALL SELECT model_id, 'PROMOTE', o_orderdate FROM d_nations WHERE o_totalprice < 1500"""
-TABLES["d_production"] = "SELECT model_id, at FROM d_model_events WHERE event = 'PROMOTE' ORDER BY at DESC, model_id DESC LIMIT 1"
+TABLES["d_production"] = '''SELECT model_id, "at" FROM d_model_events WHERE event = 'PROMOTE' ORDER BY "at" DESC, model_id DESC LIMIT 1'''
 TABLES["d_candidate"] = """
-SELECT model_id FROM (SELECT model_id, at FROM d_model_events WHERE event = 'CANDIDATE' ORDER BY at DESC, model_id DESC LIMIT 1)
-WHERE at > coalesce((SELECT at FROM d_production), TIMESTAMP '1900-01-01')"""
+SELECT model_id FROM (SELECT model_id, "at" FROM d_model_events WHERE event = 'CANDIDATE' ORDER BY "at" DESC, model_id DESC LIMIT 1)
+WHERE "at" > coalesce((SELECT "at" FROM d_production), TIMESTAMP '1900-01-01')"""
 TABLES["d_model_status"] = """
-SELECT model_id, min(at) AS registered_at, max(at) AS changed_at,
+SELECT model_id, min("at") AS registered_at, max("at") AS changed_at,
   CASE WHEN model_id = (SELECT model_id FROM d_production) THEN 'PRODUCTION'
        WHEN model_id = (SELECT model_id FROM d_candidate) THEN 'CANDIDATE' ELSE 'READY' END AS status FROM d_model_events GROUP BY 1"""
 TABLES["d_request_log"] = """
@@ -340,9 +340,9 @@ UNION ALL SELECT order_id, created_at, is_canceled, probability, 'csv' FROM d_la
 oracle("ingest_batch", """
 SELECT order_id, created_at, customer_id, grand_total, is_canceled, prev_orders, prev_cancellations, customer_cancel_rate FROM d_history""")
 oracle("write_version", """
-SELECT v AS dataset_version, at AS created_at, b AS source_batch_id, (SELECT count(*) FROM d_orders) AS row_count,
+SELECT v AS dataset_version, made AS created_at, b AS source_batch_id, (SELECT count(*) FROM d_orders) AS row_count,
   (SELECT count(DISTINCT order_id) FROM d_orders) AS order_count, v = 'v002' AS active
-FROM (VALUES ('v001', TIMESTAMP '2002-01-01', 'b1'), ('v002', TIMESTAMP '2002-01-02', 'b2')) x(v, at, b)""")
+FROM (VALUES ('v001', TIMESTAMP '2002-01-01', 'b1'), ('v002', TIMESTAMP '2002-01-02', 'b2')) x(v, made, b)""")
 oracle("bronze", "SELECT 'b1' AS batch_id, count(*) AS rows, count(increment_id) AS with_order_id FROM d_items")
 oracle("batch_dedupe", """
 SELECT file_hash, filename, uploaded_at FROM (
@@ -402,17 +402,16 @@ FROM (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CASE WHEN o_orderstatus <>
   CASE WHEN o_orderstatus = 'F' THEN 'Beauty' ELSE 'unknown' END AS category_name_1,
   CASE WHEN o_orderpriority = '2-HIGH' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, o_custkey / 1000.0::DOUBLE) END AS customer_cancel_rate FROM orders)""")
 oracle("model_frame", f"""
-SELECT order_id, {r('price')} AS price, qty_ordered, grand_total, {r('discount_amount')} AS discount_amount, {r('discount_ratio')} AS discount_ratio, is_cod,
-  has_discount, day_of_week, hour, {r('customer_cancel_rate')} AS customer_cancel_rate, category_name_1, payment_method, is_canceled FROM d_history""")
+SELECT order_id, {r('price', 9)} AS price, qty_ordered, grand_total, {r('discount_amount', 9)} AS discount_amount, {r('discount_ratio', 9)} AS discount_ratio, is_cod,
+  has_discount, day_of_week, hour, {r('customer_cancel_rate', 9)} AS customer_cancel_rate, category_name_1, payment_method, is_canceled FROM d_history""")
 oracle("economic_decision", f"SELECT order_id, probability, {econ('probability')} FROM d_labeled")
 oracle("policy_effective", """
 SELECT o_orderkey, 2000.0::DOUBLE AS avoidable_fulfillment_cost, CASE WHEN o_orderpriority = '2-HIGH' THEN 0.25::DOUBLE ELSE 0.55::DOUBLE END AS intervention_effectiveness,
   CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_custkey AS DOUBLE) ELSE 150.0::DOUBLE END AS intervention_cost,
   50.0::DOUBLE AS false_positive_friction_cost FROM orders""")
 oracle("score_batch", f"""
-SELECT order_id, {r('p', 9)} AS cancellation_probability, CASE WHEN p >= 0.41::DOUBLE THEN 'HIGH' ELSE 'LOW' END AS risk_level,
-  {r('expected_avoidable_cost', 9)} AS expected_avoidable_cost, {r('expected_false_positive_cost', 9)} AS expected_false_positive_cost,
-  {r('net_expected_savings', 9)} AS net_expected_savings, recommendation
+SELECT order_id, p AS cancellation_probability, CASE WHEN p >= 0.41::DOUBLE THEN 'HIGH' ELSE 'LOW' END AS risk_level,
+  expected_avoidable_cost, expected_false_positive_cost, net_expected_savings, recommendation
 FROM (SELECT order_id, p, {econ('p')} FROM d_scored)""")
 _BAND = "CASE WHEN probability < 0.35 THEN 'LOW' WHEN probability < 0.70 THEN 'MEDIUM' ELSE 'HIGH' END"
 oracle("risk_band", f"SELECT order_id, {_BAND} AS risk_band FROM d_labeled")
@@ -470,8 +469,8 @@ SELECT CASE mode WHEN 'manual' THEN 'Manual orders' WHEN 'batch' THEN 'Batch ord
 # ---- joins ----
 
 oracle("order_snapshot", f"""
-SELECT order_id, created_at, customer_id, {r('price')} AS price, qty_ordered, grand_total, {r('discount_amount')} AS discount_amount, is_canceled, category_name_1,
-  payment_method, status, {r('discount_ratio')} AS discount_ratio, is_cod, has_discount, day_of_week, hour FROM d_orders""")
+SELECT order_id, created_at, customer_id, {r('price', 9)} AS price, qty_ordered, grand_total, {r('discount_amount', 9)} AS discount_amount, is_canceled, category_name_1,
+  payment_method, status, {r('discount_ratio', 9)} AS discount_ratio, is_cod, has_discount, day_of_week, hour FROM d_orders""")
 oracle("business_impact", f"""
 SELECT (SELECT count(*) FROM d_pred WHERE mode IN ('manual', 'batch', 'simulation_live')) AS scoring_records, n AS orders_scored, pending AS orders_pending_review,
   released AS orders_released, v AS orders_verified, {r('v / CAST(n AS DOUBLE)', 4)} AS verification_rate, {r('p', 4)} AS expected_cancellations_reached,
@@ -611,7 +610,7 @@ SELECT count(*) AS holdout_rows, {r('avg(probability)', 9)} AS mean_probability,
 TABLES["d_baseline"] = " UNION ALL ".join(
     [f"SELECT '{c}' AS feature, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS number, CAST(NULL AS VARCHAR) AS text FROM d_history" for c in NUMERIC]
     + [f"SELECT '{c}', NULL, (SELECT {c} FROM d_history GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1)" for c in ("category_name_1", "payment_method")])
-oracle("feature_baseline", f"SELECT feature, {r('number')} AS number, text FROM d_baseline")
+oracle("feature_baseline", f"SELECT feature, {r('number', 9)} AS number, text FROM d_baseline")
 TABLES["d_lp"] = "SELECT y AS is_canceled, probability, threshold FROM d_pred WHERE eligible AND y IS NOT NULL"
 TABLES["d_lp_points"] = """
 SELECT s.probability AS threshold, count(*) AS predicted, sum(is_canceled) AS tp, (SELECT sum(is_canceled) FROM d_lp) AS positives

@@ -75,7 +75,7 @@ class Tables:
             F.when(c("o_totalprice") >= 20000, c("o_custkey").cast("string")).alias("Customer ID"),
             F.when(bad_day, "not a date").otherwise(F.date_format(created, "yyyy-MM-dd HH:mm:ss")).alias("created_at"),
             c("l_partkey").cast("string").alias("sku"),
-            (c("l_extendedprice") / c("l_quantity")).alias("price"),
+            c("l_extendedprice").alias("price"),
             F.when(brand & (c("l_tax") == 0.08), "0").when(brand & (c("l_tax") == 0.0), "two")
             .otherwise(c("l_quantity").cast("int").cast("string")).alias("qty_ordered"),
             F.when(c("o_totalprice") < 2500, -c("o_totalprice")).otherwise(c("o_totalprice")).alias("grand_total"),

@@ -54,7 +54,7 @@ class Workspace:
 
     def append(self, name: str, rows: DataFrame | list[tuple]) -> None:
         if isinstance(rows, list):
-            rows = self.spark.createDataFrame(rows, LEDGERS[name])
+            rows = self.spark.createDataFrame(rows, LEDGERS[name]).coalesce(1)
         types = {f.split()[0]: f.split()[1] for f in LEDGERS[name].split(",")}
         rows.select(*[
             (F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()
@@ -102,7 +102,7 @@ class Workspace:
         }
         types = {f.split()[0]: f.split()[1] for f in SNAPSHOT.split(",")}
         snapshot.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()]).write.mode("errorifexists").parquet(paths["processed_path"])
-        quarantine.write.mode("errorifexists").option("header", True).csv(paths["quarantine_path"])
+        _write_csv(quarantine, paths["quarantine_path"])
         report.write.mode("errorifexists").json(paths["report_path"])
         written = self.spark.read.schema(SNAPSHOT).parquet(paths["processed_path"])
         size = written.agg(F.count("*").alias("rows"), F.count_distinct("order_id").alias("orders")).first()
@@ -123,6 +123,14 @@ class Workspace:
         return latest_per_key(self.ledger("predictions"), ["prediction_id"], "predicted_at")
 
 
+def _write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Header CSV with the texts as they are, blanks included."""
+    (
+        df.write.mode("errorifexists").option("header", True).option("compression", compression)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
+
+
 def write_support_table(df: DataFrame, path: str) -> None:
     """Header CSV, gzipped, one file per task."""
-    df.write.mode("errorifexists").option("header", True).option("compression", "gzip").csv(path)
+    _write_csv(df, path, "gzip")
