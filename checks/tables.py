@@ -89,7 +89,7 @@ class Tables:
 
     @cached_property
     def checked(self) -> DataFrame:
-        return stored(checked_rows(self.raw_items), "checked")
+        return checked_rows(self.raw_items)
 
     @cached_property
     def valid(self) -> DataFrame:

@@ -32,25 +32,11 @@ def score_counts(df: DataFrame, y: str, p: str, by: list[str] | None = None) ->
 def curve_points(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """One row per distinct score, highest first: counts at and above the score, group totals."""
     by = by or []
-    counts = score_counts(df, y, p, by)
-    run = running_totals(counts, by, ["score"], ["n", "pos"], descending=True).withColumns({
+    run = running_totals(score_counts(df, y, p, by), by, ["score"], ["n", "pos"], descending=True, totals=True)
+    run = run.withColumnsRenamed({"total_n": "rows", "total_pos": "positives"}).withColumns({
         "tp": F.col("before_pos") + F.col("pos"),
         "predicted": F.col("before_n") + F.col("n"),
     })
-    # The lowest score sees everything, so the largest prefix is the group total.
-    totals = run.groupBy(*by).agg(F.max("predicted").alias("rows"), F.max("tp").alias("positives"))
-    if by:
-        match = None
-        for k in by:
-            eq = F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
-            match = eq if match is None else match & eq
-        joined = run.alias("r").join(F.broadcast(totals.alias("t")), match)
-        run = joined.select("r.*", "t.rows", "t.positives")
-    else:
-        row = totals.first()
-        run = run.withColumns({
-            "rows": F.lit(row["rows"]).cast("bigint"), "positives": F.lit(row["positives"]).cast("bigint"),
-        })
     return run.withColumns({
         "precision": F.col("tp") / F.col("predicted"),
         "recall": F.try_divide(F.col("tp"), F.col("positives")),

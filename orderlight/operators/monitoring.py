@@ -98,6 +98,12 @@ def latest_predictions(predictions: DataFrame) -> DataFrame:
     return latest_per_key(keyed, ["_order"], "predicted_at", "prediction_id").drop("_order")
 
 
+IMPACT_COLUMNS = [
+    "prediction_id", "order_id", "predicted_at", "monitoring_mode", "probability", "recommendation",
+    "expected_avoidable_cost", "expected_false_positive_cost", "net_expected_savings", "intervention_cost",
+]
+
+
 def business_action(decision: Column, mode: Column, recommendation: Column) -> Column:
     """Manager decision, else pending for interactive modes, else the recommendation."""
     undecided = decision.isNull() | decision.isin("", "<NA>")
@@ -115,7 +121,7 @@ def business_actions(predictions: DataFrame, decisions: DataFrame, include_demo:
     keys on either side.
     """
     modes = [m for m in BUSINESS_MODES if include_demo or m != "simulation_live"]
-    scored = with_population(predictions).drop("eligible").filter(F.col("monitoring_mode").isin(modes))
+    scored = with_population(predictions).filter(F.col("monitoring_mode").isin(modes)).select(IMPACT_COLUMNS)
     decided = latest_decisions(decisions.select("decision_id", "prediction_id", "decided_at", "manager_decision"))
     return (
         latest_predictions(scored)

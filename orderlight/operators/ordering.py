@@ -47,11 +47,12 @@ def global_rank(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame
 
 
 def running_totals(
-    df: DataFrame, by: list[str], order: list[str], sums: list[str], descending: bool = False
+    df: DataFrame, by: list[str], order: list[str], sums: list[str], descending: bool = False, totals: bool = False
 ) -> DataFrame:
     """Adds ``before_<s>``: the sum of ``s`` over the rows of the same ``by`` group that come
-    earlier in ``order``. Groups may be of any size, but their number must be moderate: the
-    carried totals hold at most (parts + groups) rows and are broadcast."""
+    earlier in ``order``; with ``totals`` also ``total_<s>`` of the whole group. Groups may be
+    of any size, but their number must be moderate: the carried sums hold at most
+    (parts + groups) rows and are broadcast."""
     ordered = [F.col(k).desc_nulls_last() if descending else F.col(k).asc_nulls_last() for k in order]
     placed = _placed(df, [F.col(k).asc_nulls_first() for k in by] + ordered, "totals")
     inside = Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,13 +63,14 @@ def running_totals(
             F.col("_part").alias("_c_part"),
             *[F.col(k).alias(f"_c_{k}") for k in by],
             *[F.sum(f"_t_{s}").over(earlier).alias(f"_c_sum_{s}") for s in sums],
+            *[F.sum(f"_t_{s}").over(Window.partitionBy(*by)).alias(f"total_{s}") for s in sums if totals],
         )
     )
     local = placed.withColumns({f"_l_{s}": F.sum(s).over(inside) for s in sums})
     match = F.col("_part") == F.col("_c_part")
     for k in by:
         match = match & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-    joined = local.join(F.broadcast(carried), match, "left")
+    joined = local.join(F.broadcast(carried), match)
     zero = F.lit(0)
     return joined.select(
         *df.columns,
@@ -76,4 +78,5 @@ def running_totals(
             (F.coalesce(F.col(f"_l_{s}"), zero) + F.coalesce(F.col(f"_c_sum_{s}"), zero)).alias(f"before_{s}")
             for s in sums
         ],
+        *[f"total_{s}" for s in sums if totals],
     )

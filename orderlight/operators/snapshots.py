@@ -52,21 +52,30 @@ def cumulative_snapshot(old: DataFrame | None, new: DataFrame, hot_rows: int = H
     return customer_history(merged, hot_rows).select(*SNAPSHOT_COLUMNS)
 
 
-def extended_snapshot(old: DataFrame, new: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def extended_snapshot(
+    old: DataFrame | None, new: DataFrame, hot_rows: int = HOT_ROWS, disjoint: bool = False
+) -> DataFrame:
     """Same result as :func:`cumulative_snapshot` when ``old`` already carries its history:
-    only customers with a new or replaced order are recomputed, the rest pass through."""
+    only customers with a new or replaced order are recomputed, the rest pass through without
+    a shuffle. ``disjoint`` says that no id of ``new`` occurs in ``old``, so nothing has to be
+    merged."""
+    if old is None:
+        return cumulative_snapshot(None, new, hot_rows)
     new = stored(normalize_snapshot(new.select(*ORDER_COLUMNS)), "new-orders")
     old = old.select(*SNAPSHOT_COLUMNS)
-    ids = small_side(new.select("order_id").distinct())
-    replaced = old.join(ids, "order_id", "left_semi").select("customer_id")
-    touched = stored(
-        new.select("customer_id").unionByName(replaced).distinct()
-        .select(F.col("customer_id").alias("_touched")), "touched",
-    )
+    moved = new.select("customer_id")
+    if not disjoint:
+        ids = small_side(new.select("order_id").distinct())
+        moved = moved.unionByName(old.join(ids, "order_id", "left_semi").select("customer_id"))
+    touched = stored(moved.distinct().select(F.col("customer_id").alias("_touched")), "touched")
     same = F.col("customer_id").eqNullSafe(F.col("_touched"))
     side = small_side(touched)
     untouched = old.join(side, same, "left_anti")
-    again = merged_orders(old.join(side, same, "left_semi"), new)
+    affected = old.join(side, same, "left_semi")
+    if disjoint:
+        again = normalize_snapshot(affected.select(*ORDER_COLUMNS)).unionByName(new)
+    else:
+        again = merged_orders(affected, new)
     return untouched.unionByName(customer_history(again, hot_rows).select(*SNAPSHOT_COLUMNS))
 
 

@@ -11,7 +11,7 @@ from orderlight.contract import LEAKAGE_COLUMNS, ORDER_ID_CANDIDATES, REQUIRED_C
 from orderlight.functions.cleaning import (
     clean_status, first_existing, normalize_ids, quoted, to_number, to_time,
 )
-from orderlight.session import stored
+from orderlight.session import small_side, stored
 
 MONEY_COLUMNS = ["price", "qty_ordered", "grand_total", "discount_amount"]
 ORD = "_ord"
@@ -19,6 +19,8 @@ COPIES = "_copies"
 REASON = "quarantine_reason"
 REPORT_SCHEMA = "check_name STRING, status STRING, affected_rows BIGINT, details STRING"
 
+_HASH = "_hash"
+
 # Copies of one row that a single task writes out.
 COPY_CHUNK = 100_000
 
@@ -43,23 +45,36 @@ def row_rules(df: DataFrame) -> dict[str, Column]:
 
 
 def checked_rows(items: DataFrame) -> DataFrame:
-    """Distinct item rows with ``_copies``, first ``_ord`` and the row-rule reasons.
+    """Stored table of distinct item rows with ``_copies``, first ``_ord`` and the row-rule
+    reasons. Later steps never need the copies themselves, only how many there are.
 
-    Grouping on every source column spreads hot order ids and the rows without an id, and map
-    tasks collapse repeated rows before the shuffle. Later steps never need the copies
-    themselves, only how many there are.
+    Repeated rows are rare, so full rows are not shuffled to find them. A first pass counts
+    8-byte row hashes; equal rows always share a hash, so only rows with a repeated hash can
+    have copies. Those few are grouped by all their columns, which is exact whatever the
+    hash. Map tasks collapse copies first, so one row repeated very often is no hot spot.
     """
     df = normalize_ids(items)
     source = [c for c in df.columns if c != ORD]
-    ordinal = F.min(ORD) if ORD in df.columns else F.lit(None).cast("bigint")
-    distinct = (
-        df.groupBy(*[quoted(c) for c in source])
-        .agg(F.count("*").alias(COPIES), ordinal.alias(ORD))
-    )
-    rules = row_rules(distinct)
-    return distinct.withColumn(
+    if ORD not in df.columns:
+        df = df.withColumn(ORD, F.lit(None).cast("bigint"))
+    rules = row_rules(df)
+    marked = df.withColumn(
         REASON, F.concat(*[F.when(bad, f"{name};").otherwise("") for name, bad in rules.items()])
+    ).withColumn(_HASH, F.xxhash64(*[quoted(c) for c in source]))
+    repeated = stored(
+        marked.groupBy(_HASH).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col(_HASH).alias("_hit")),
+        "repeated",
+    )
+    # Left join: broadcast of a counted side, or the adaptive shuffle join beyond the bound.
+    staged = stored(
+        marked.join(small_side(repeated), F.col(_HASH) == F.col("_hit"), "left")
+        .withColumn("_again", F.col("_hit").isNotNull()).drop("_hit", _HASH),
+        "checked", partition_by="_again",
     )
+    once = staged.filter(~F.col("_again")).drop("_again").withColumn(COPIES, F.lit(1).cast("bigint"))
+    again = staged.filter("_again").groupBy(*[quoted(c) for c in source], REASON).agg(
+        F.min(ORD).alias(ORD), F.count("*").alias(COPIES))
+    return once.unionByName(stored(again, "copies"))
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:
@@ -156,12 +171,12 @@ class ItemCheck:
 
 
 def check_items(items: DataFrame) -> ItemCheck:
-    """Required columns, row rules and duplicates. The checked rows are written once, since
-    the counts, the valid side and the quarantine all read them."""
+    """Required columns, row rules and duplicates. The counts, the valid side and the
+    quarantine all read the stored checked rows."""
     missing = missing_columns(items.columns)
     if missing:
         return ItemCheck(True, missing_column_report(missing), {"raw_rows": items.count(), "valid_rows": 0})
-    checked = stored(checked_rows(items), "checked")
+    checked = checked_rows(items)
     counts = row_check_counts(checked).first().asDict()
     return ItemCheck(
         False, report_rows(counts, first_existing(items.columns, ORDER_ID_CANDIDATES)), counts,

@@ -48,7 +48,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str = "table") -> DataFrame:
+def stored(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
     Used where a result is read more than once or where row positions must not change
@@ -56,7 +56,8 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlight.functions.cleaning import to_time
+from orderlight.functions.cleaning import quoted, to_time
 from orderlight.operators.latest import latest_per_key
 from orderlight.operators.snapshots import version_states
 from orderlight.sources.schemas import LEDGERS, SNAPSHOT
@@ -81,13 +81,18 @@ class Workspace:
         df = self.spark.read.schema(SNAPSHOT).parquet(self.path("snapshots", f"dataset_version={version}"))
         return df.select(*columns) if columns else df
 
-    def write_raw(self, items: DataFrame, batch_id: str) -> None:
-        """Untouched copy of an upload, as text columns."""
-        names = {c: "".join(ch if ch.isalnum() else "_" for ch in c) or "_" for c in items.columns}
-        (
-            items.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}_{n}") for i, (c, n) in enumerate(names.items())])
-            .write.mode("errorifexists").parquet(self.path("bronze", f"batch_id={batch_id}"))
-        )
+    def write_raw(self, items: DataFrame, batch_id: str) -> DataFrame:
+        """Untouched copy of an upload, as text columns; returns it under the original names.
+        The file uses plain column names, since source headers may hold any character."""
+        plain = {
+            c: c if c == "_ord" else f"c{i}_" + "".join(ch if ch.isalnum() else "_" for ch in c)
+            for i, c in enumerate(items.columns)
+        }
+        path = self.path("bronze", f"batch_id={batch_id}")
+        items.select(*[
+            quoted(c).cast("bigint" if c == "_ord" else "string").alias(n) for c, n in plain.items()
+        ]).write.mode("errorifexists").parquet(path)
+        return self.spark.read.parquet(path).select(*[F.col(n).alias(c) for c, n in plain.items()])
 
     def write_version(
         self, version: str, snapshot: DataFrame, quarantine: DataFrame, report: DataFrame,
