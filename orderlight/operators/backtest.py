@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlight.functions.economics import break_even, clip01, full_policy, whatif_policies
+from orderlight.operators.binning import cell_counts
 
 GRID_KEYS = [
     "avoidable_fulfillment_cost", "intervention_effectiveness", "intervention_cost",
@@ -73,17 +74,15 @@ def policies_backtest(df: DataFrame, y: str, p: str, policies: list[dict]) -> Da
     cuts = [break_even(x) for x in full]
     points = sorted({c for c in cuts if math.isfinite(c)})
     score = clip01(F.col(p))
-    literal = F.array(*[F.lit(c) for c in points]).cast("array<double>")
-    reached = F.size(F.filter(literal, lambda c: c <= score))
-    groups = df.groupBy(reached.alias("reached")).agg(
-        F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("pos"),
-    )
-    # At most (policies + 1) rows come back; suffix sums over them are plain arithmetic.
-    seen = {r["reached"]: (r["n"], r["pos"]) for r in groups.collect()}
+    counted_by = df.select(score.alias("all"), F.when(F.col(y) == 1, score).alias("positive"))
+    # At most 2 x (2 x policies + 1) rows come back; suffix sums over them are plain arithmetic.
+    seen = {"all": {}, "positive": {}}
+    for r in cell_counts(counted_by, {"all": points, "positive": points}).collect():
+        reached = (r["cell"] + 1) // 2
+        seen[r["feature"]][reached] = seen[r["feature"]].get(reached, 0) + r["n"]
 
     def at_least(place: int) -> tuple[int, int]:
-        inside = [v for k, v in seen.items() if k >= place]
-        return sum(n for n, _ in inside), sum(c for _, c in inside)
+        return tuple(sum(n for k, n in seen[side].items() if k >= place) for side in ("all", "positive"))
 
     everyone = at_least(0)
     counted = df.sparkSession.createDataFrame(

@@ -183,8 +183,9 @@ def calibration_bins(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame
     """Mean score and positive rate per quantile bin; empty bins are left out. A score on an
     inner edge belongs to the lower bin."""
     edges = exact_quantiles(df, [p], [i / bins for i in range(bins + 1)])[p] or []
-    inner = F.array(*[F.lit(e) for e in edges[1:-1]])
-    bin_ = F.size(F.filter(inner, lambda e: e < F.col(p)))
+    bin_ = F.lit(0)
+    for e in edges[1:-1]:
+        bin_ = bin_ + (F.col(p) > F.lit(e)).cast("int")
     return (
         df.groupBy(bin_.alias("bin"))
         .agg(

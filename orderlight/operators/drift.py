@@ -2,74 +2,53 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlight.contract import CATEGORICAL_FEATURES, MIN_MONITORING_ROWS, NUMERIC_FEATURES
 from orderlight.functions.labels import psi_label, tv_label
+from orderlight.operators.binning import cell_counts
 from orderlight.operators.quantiles import exact_quantiles
+from orderlight.session import stored
 
 MIN_ROWS = 20
 FLOOR = 1e-6
 MISSING = "<missing>"
 
 
-def _value(c: str) -> Column:
-    v = F.col(c).cast("double")
-    return F.when(~F.isnan(v), v)
+def _bins(df: DataFrame, inner: dict[str, list[float]]) -> dict[str, list[int]]:
+    """Values per right-closed bin of each feature. At most features x bins x 2 rows come
+    back: cells 2i (before edge i) and 2i + 1 (on edge i) form bin i."""
+    bins = {c: [0] * (len(e) + 1) for c, e in inner.items()}
+    for r in cell_counts(df, inner).collect():
+        bins[r["feature"]][r["cell"] // 2] += r["n"]
+    return bins
 
 
-def _binned(df: DataFrame, edges: dict[str, list[float]], side: str) -> DataFrame:
-    """Counts per (feature, bin); bin = number of inner edges below the value (right-closed)."""
-    cells = []
-    for c, e in edges.items():
-        v = _value(c)
-        inner = F.array(*[F.lit(x) for x in e[1:-1]]).cast("array<double>")
-        cells.append(F.struct(
-            F.lit(c).alias("feature"),
-            F.when(v.isNotNull(), F.size(F.filter(inner, lambda x: x < v))).alias("bin"),
-        ))
-    return (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
-        .filter("cell.bin IS NOT NULL")
-        .groupBy("cell.feature", "cell.bin").agg(F.count("*").alias(side))
-    )
+def _stability_index(reference: list[int], current: list[int], distinct_edges: int) -> float | None:
+    if sum(reference) < MIN_ROWS or sum(current) < MIN_ROWS:
+        return None
+    if distinct_edges < 3:
+        return 0.0
+    total = 0.0
+    for a, b in zip(reference, current):
+        r, c = max(a / sum(reference), FLOOR), max(b / sum(current), FLOOR)
+        total += (c - r) * math.log(c / r)
+    return total
 
 
 def psi_table(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """(feature, psi) over reference quantile bins. NULL with fewer than 20 values on either
-    side, 0 when the reference has fewer than three distinct edges."""
-    spark = reference.sparkSession
+    side, 0 when the reference has fewer than three distinct edges. Both tables are only
+    scanned and counted; the arithmetic sees ten numbers per feature and side."""
     quantiles = exact_quantiles(reference, features, [i / bins for i in range(bins + 1)])
-    ref_n = reference.agg(*[F.count(_value(c)).alias(c) for c in features]).first().asDict()
-    cur_n = current.agg(*[F.count(_value(c)).alias(c) for c in features]).first().asDict()
-    edges, fixed = {}, []
-    for c in features:
-        distinct = sorted(set(quantiles[c] or []))
-        if ref_n[c] < MIN_ROWS or cur_n[c] < MIN_ROWS:
-            fixed.append((c, None))
-        elif len(distinct) < 3:
-            fixed.append((c, 0.0))
-        else:
-            edges[c] = distinct
-    constant = spark.createDataFrame(fixed, "feature STRING, psi DOUBLE")
-    if not edges:
-        return constant
-    # Both sides have at most (features x bins) rows from here on.
-    all_bins = spark.createDataFrame(
-        [(c, b, ref_n[c], cur_n[c]) for c, e in edges.items() for b in range(len(e) - 1)],
-        "feature STRING, bin INT, ref_rows BIGINT, cur_rows BIGINT",
-    )
-    cells = (
-        all_bins.join(_binned(reference, edges, "ref"), ["feature", "bin"], "left")
-        .join(_binned(current, edges, "cur"), ["feature", "bin"], "left")
-    )
-
-    def share(count: str, rows: str) -> Column:
-        return F.greatest(F.coalesce(F.col(count), F.lit(0)) / F.col(rows), F.lit(FLOOR))
-
-    r, c = share("ref", "ref_rows"), share("cur", "cur_rows")
-    return cells.groupBy("feature").agg(F.sum((c - r) * F.ln(c / r)).alias("psi")).unionByName(constant)
+    edges = {c: sorted(set(quantiles[c] or [])) for c in features}
+    inner = {c: e[1:-1] for c, e in edges.items()}
+    ref, cur = _bins(reference, inner), _bins(current, inner)
+    rows = [(c, _stability_index(ref[c], cur[c], len(edges[c]))) for c in features]
+    return reference.sparkSession.createDataFrame(rows, "feature STRING, psi DOUBLE")
 
 
 def _categories(df: DataFrame, features: list[str], side: str) -> DataFrame:
@@ -106,7 +85,9 @@ def feature_drift(reference: DataFrame, current: DataFrame) -> DataFrame:
     texts = [c for c in CATEGORICAL_FEATURES if c in both]
     empty = reference.sparkSession.createDataFrame(
         [], "feature STRING, metric STRING, drift_score DOUBLE, status STRING")
-    if current.limit(1).isEmpty():
+    # Read many times below, and often parsed from text: write the narrow columns once.
+    current = stored(current.select(*numeric, *texts), "current")
+    if current.isEmpty():
         return empty
     out = empty
     if numeric:

@@ -15,8 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlight.operators.binning import cell_counts, values_between
+
 # Values of one bracket that may be gathered into an array.
-BRACKET_ROWS = 20_000
+BRACKET_ROWS = 100_000
 _SKETCH_ACCURACY = 10_000
 
 
@@ -32,67 +34,90 @@ class _Bracket:
     inside: int
     value: float | None = None
 
-    def test(self, v: Column) -> Column:
-        keep = v.isNotNull()
-        if self.low is not None:
-            keep = keep & (v > F.lit(self.low))
-        if self.high is not None:
-            keep = keep & (v < F.lit(self.high))
-        return keep
+    @property
+    def span(self) -> tuple[str, float | None, float | None]:
+        return self.column, self.low, self.high
+
+    def narrow(self, edge: float, lt: int, le: int) -> None:
+        """Use one proven edge: ``lt`` values lie below it, ``le`` at or below it."""
+        end = self.below + self.inside
+        if lt <= self.position < le:
+            self.value = edge
+        elif le <= self.position and le > self.below:
+            self.low, self.below, self.inside = edge, le, end - le
+        elif self.position < lt < end:
+            self.high, self.inside = edge, lt - self.below
 
 
-def _number(df: DataFrame, name: str) -> Column:
+def _number(name: str) -> Column:
     c = F.col(name).cast("double")
     return F.when(~F.isnan(c), c)
 
 
+def _proposed_edges(df: DataFrame, wide: list[_Bracket]) -> dict[str, list[float]]:
+    """Data values around the wanted positions: one sketch per distinct bracket."""
+    margin = 2.0 / _SKETCH_ACCURACY
+    spans: dict[tuple, list[float]] = {}
+    for b in wide:
+        q = (b.position - b.below + 0.5) / b.inside
+        spans.setdefault(b.span, []).extend([max(0.0, q - margin), min(1.0, q + margin)])
+    sketches = []
+    for (column, low, high), points in spans.items():
+        v = _number(column)
+        keep = v.isNotNull()
+        if low is not None:
+            keep = keep & (v > F.lit(low))
+        if high is not None:
+            keep = keep & (v < F.lit(high))
+        sketches.append(F.percentile_approx(F.when(keep, v), points, _SKETCH_ACCURACY).alias(f"s{len(sketches)}"))
+    found = df.agg(*sketches).first()
+    edges: dict[str, set[float]] = {}
+    for (column, _, _), values in zip(spans, found):
+        edges.setdefault(column, set()).update(values)
+    return {c: sorted(e) for c, e in edges.items()}
+
+
+def _proven_counts(df: DataFrame, edges: dict[str, list[float]]) -> dict[str, list[tuple[float, int, int]]]:
+    """(edge, values below it, values at or below it) per column."""
+    cells: dict[str, dict[int, int]] = {}
+    for r in cell_counts(df, edges).collect():
+        cells.setdefault(r["feature"], {})[r["cell"]] = r["n"]
+    out = {}
+    for column, e in edges.items():
+        seen, running = cells.get(column, {}), 0
+        out[column] = []
+        for i, edge in enumerate(e):
+            lt = running + seen.get(2 * i, 0)
+            running = lt + seen.get(2 * i + 1, 0)
+            out[column].append((edge, lt, running))
+    return out
+
+
 def order_statistics(
     df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int], bracket_rows: int = BRACKET_ROWS
 ) -> dict[tuple[str, int], float]:
-    """Values at 0-based positions of the sorted non-missing values of each column."""
-    values = {c: _number(df, c) for c in wanted}
+    """Values at 0-based positions of the sorted non-missing values of each column. Everything
+    collected here is bounded: edges and counts per wanted position, and one array of at most
+    ``bracket_rows`` values per final bracket."""
     brackets = [
         _Bracket(c, k, None, None, 0, counts[c]) for c, ks in wanted.items() for k in sorted(set(ks))
     ]
     while wide := [b for b in brackets if b.value is None and b.inside > bracket_rows]:
-        margin = 2.0 / _SKETCH_ACCURACY
-        proposals = []
-        for i, b in enumerate(wide):
-            q = (b.position - b.below + 0.5) / b.inside
-            points = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
-            v = F.when(b.test(values[b.column]), values[b.column])
-            proposals.append(F.percentile_approx(v, points, _SKETCH_ACCURACY).alias(f"s{i}"))
-        found = df.agg(*proposals).first()
-        probes = []
-        for i, b in enumerate(wide):
-            v = values[b.column]
-            for j, edge in enumerate(found[f"s{i}"]):
-                probes.append(F.count_if(v < F.lit(edge)).alias(f"lt{i}_{j}"))
-                probes.append(F.count_if(v <= F.lit(edge)).alias(f"le{i}_{j}"))
-        seen = df.agg(*probes).first()
-        for i, b in enumerate(wide):
-            for j, edge in enumerate(found[f"s{i}"]):
-                lt, le = seen[f"lt{i}_{j}"], seen[f"le{i}_{j}"]
-                end = b.below + b.inside
-                if lt <= b.position < le:
-                    b.value = edge
+        proven = _proven_counts(df, _proposed_edges(df, wide))
+        for b in wide:
+            for edge, lt, le in proven[b.column]:
+                b.narrow(edge, lt, le)
+                if b.value is not None:
                     break
-                if le <= b.position and le > b.below:
-                    b.low, b.below = edge, le
-                    b.inside = end - le
-                elif b.position < lt < end:
-                    b.high, b.inside = edge, lt - b.below
-    open_ = [b for b in brackets if b.value is None]
-    if open_:
+    if open_ := [b for b in brackets if b.value is None]:
         # Positions of one column that share a bracket share its array.
-        spans = {(b.column, b.low, b.high): b for b in open_}
-        names = {key: f"a{i}" for i, key in enumerate(spans)}
-        arrays = df.agg(*[
-            F.sort_array(F.collect_list(F.when(b.test(values[b.column]), values[b.column]))).alias(names[key])
-            for key, b in spans.items()
-        ]).first()
+        spans = list(dict.fromkeys(b.span for b in open_))
+        arrays = {
+            spans[r["span"]]: r["vs"]
+            for r in values_between(df, spans).groupBy("span").agg(F.sort_array(F.collect_list("v")).alias("vs")).collect()
+        }
         for b in open_:
-            b.value = arrays[names[(b.column, b.low, b.high)]][b.position - b.below]
+            b.value = arrays[b.span][b.position - b.below]
     return {(b.column, b.position): b.value for b in brackets}
 
 
@@ -100,7 +125,7 @@ def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float], bracket_rows: int = BRACKET_ROWS
 ) -> dict[str, list[float] | None]:
     """Linear-interpolated quantiles per column; None for a column without values."""
-    sizes = df.agg(*[F.count(_number(df, c)).alias(c) for c in columns]).first().asDict()
+    sizes = df.agg(*[F.count(_number(c)).alias(c) for c in columns]).first().asDict()
     wanted: dict[str, list[int]] = {}
     for c in columns:
         n = sizes[c]

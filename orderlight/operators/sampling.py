@@ -128,19 +128,36 @@ def time_spanning_sample(df: DataFrame, n: int, time: str = "created_at", key: s
     return df.join(kept, quoted(key) == F.col("_k"), "left_semi")
 
 
-def _boundary(keys: DataFrame, position: int, known: int, rows: int) -> tuple[int | None, str] | None:
-    """(time, key) at a 0-based position of (time, key) order, missing times last. The time is
-    an exact order statistic; only the rows that share it are ranked by key."""
-    if position >= rows:
-        return None
-    if position < known:
-        at = int(order_statistics(keys, {"_t": [position]}, {"_t": known})[("_t", position)])
-        tied = keys.filter(F.col("_t") == at)
-        place = position - keys.filter(F.col("_t") < at).count()
-    else:
-        at, tied, place = None, keys.filter(F.col("_t").isNull()), position - known
-    row = global_rank(tied.select("_k"), ["_k"], "_r").filter(F.col("_r") == place).first()
-    return at, row["_k"]
+def _boundaries(keys: DataFrame, positions: list[int], known: int, rows: int) -> dict[int, tuple[int | None, str]]:
+    """(time, key) at 0-based positions of (time, key) order, missing times last. Times are
+    exact order statistics; only the rows that share one of these times are ranked by key."""
+    inside = sorted({p for p in positions if p < rows})
+    if not inside:
+        return {}
+    dated = [p for p in inside if p < known]
+    found = order_statistics(keys, {"_t": dated}, {"_t": known}) if dated else {}
+    times = {p: int(found[("_t", p)]) if p < known else None for p in inside}
+    distinct = sorted({t for t in times.values() if t is not None})
+    if None in times.values():
+        distinct.append(None)
+
+    def at(t: int | None) -> Column:
+        return F.col("_t").isNull() if t is None else F.coalesce(F.col("_t") == t, F.lit(False))
+
+    tied = F.lit(False)
+    for t in distinct:
+        tied = tied | at(t)
+    size = keys.agg(
+        *[F.count_if(at(t)).alias(f"n{i}") for i, t in enumerate(distinct)],
+        *[(F.count("_t") if t is None else F.count_if(F.col("_t") < t)).alias(f"b{i}") for i, t in enumerate(distinct)],
+    ).first()
+    starts, start = {}, 0
+    for i, t in enumerate(distinct):
+        starts[t] = start - size[f"b{i}"]
+        start += size[f"n{i}"]
+    places = {starts[times[p]] + p: p for p in inside}
+    ranked = global_rank(keys.filter(tied), ["_t", "_k"], "_r").filter(F.col("_r").isin(list(places)))
+    return {places[r["_r"]]: (r["_t"], r["_k"]) for r in ranked.collect()}
 
 
 def temporal_split(
@@ -156,19 +173,18 @@ def temporal_split(
     rows, known = size["rows"], size["known"]
     micros = F.unix_micros(quoted(time))
 
+    if rows == 0:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    cuts = [int(rows * train), int(rows * (train + validation))]
+    edges = _boundaries(keys, cuts, known, rows)
+
     def before(position: int) -> Column:
-        edge = _boundary(keys, position, known, rows)
-        if edge is None:
+        if position not in edges:
             return F.lit(True)
-        at, k = edge
+        at, k = edges[position]
         if at is None:
             return micros.isNotNull() | (quoted(key) < F.lit(k))
         return F.coalesce((micros < at) | ((micros == at) & (quoted(key) < F.lit(k))), F.lit(False))
 
-    if rows == 0:
-        return df.withColumn("split", F.lit(None).cast("string"))
     return df.withColumn(
-        "split",
-        F.when(before(int(rows * train)), "train")
-        .when(before(int(rows * (train + validation))), "validation").otherwise("test"),
-    )
+        "split", F.when(before(cuts[0]), "train").when(before(cuts[1]), "validation").otherwise("test"))

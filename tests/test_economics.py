@@ -92,3 +92,8 @@ def test_currency(spark):
 def test_usd_uploads_are_converted_before_scoring(spark):
     df = currency.inputs_in_pkr(spark.createDataFrame([("o", "10", "x")], "order_id STRING, price STRING, grand_total STRING"), 0.004)
     assert rows(df, "price", "grand_total") == [(2500.0, None)]
+
+
+def test_missing_scores_stay_missing(spark):
+    df = spark.createDataFrame([(None,)], "p DOUBLE").withColumns(economics(F.col("p")))
+    assert rows(df, "expected_avoidable_cost", "recommendation") == [(None, "Approve for Fulfillment")]
