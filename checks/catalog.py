@@ -183,13 +183,6 @@ def seed_version(t: Tables) -> DataFrame:
     return ws.versions().select("dataset_version", "row_count", "order_count", "active").withColumn("added", F.lit(added == [True, False]))
 
 
-@query
-def gen_batch(t: Tables) -> DataFrame:
-    """A generated batch as large as the item table."""
-    rows = t.read("lineitem").count()
-    return item_files.generated_items(t.spark, rows).groupBy("payment_method", "status").agg(F.count("*").alias("rows"))
-
-
 @query
 def scored_export(t: Tables) -> DataFrame:
     scored = t.labeled.select("order_id", F.col("probability")).withColumns(economics.economics(F.col("probability")))

@@ -69,8 +69,9 @@ def checked_rows(items: DataFrame) -> DataFrame:
     staged = stored(
         marked.join(small_side(repeated), F.col(_HASH) == F.col("_hit"), "left")
         .withColumn("_again", F.col("_hit").isNotNull()).drop("_hit", _HASH),
-        "checked", partition_by="_again",
+        "checked",
     )
+    # Row groups without repeated rows are skipped by their statistics.
     once = staged.filter(~F.col("_again")).drop("_again").withColumn(COPIES, F.lit(1).cast("bigint"))
     again = staged.filter("_again").groupBy(*[quoted(c) for c in source], REASON).agg(
         F.min(ORD).alias(ORD), F.count("*").alias(COPIES))

@@ -96,10 +96,11 @@ class Workspace:
 
     def write_version(
         self, version: str, snapshot: DataFrame, quarantine: DataFrame, report: DataFrame,
-        batch_id: str, at, sample: bool = False,
+        batch_id: str, at, sample: bool = False, unique_orders: bool = False,
     ) -> dict:
         """Immutable snapshot, quarantine CSV and report JSON, then one version row. Being the
-        newest full version makes it the active one."""
+        newest full version makes it the active one. ``unique_orders`` says that the snapshot
+        holds one row per order, which saves a distinct count."""
         paths = {
             "processed_path": self.path("snapshots", f"dataset_version={version}"),
             "quarantine_path": self.path("quarantine", f"dataset_version={version}"),
@@ -110,7 +111,8 @@ class Workspace:
         _write_csv(quarantine, paths["quarantine_path"])
         report.write.mode("errorifexists").json(paths["report_path"])
         written = self.spark.read.schema(SNAPSHOT).parquet(paths["processed_path"])
-        size = written.agg(F.count("*").alias("rows"), F.count_distinct("order_id").alias("orders")).first()
+        orders = F.count("order_id") if unique_orders else F.count_distinct("order_id")
+        size = written.agg(F.count("*").alias("rows"), orders.alias("orders")).first()
         self.append("dataset_versions", [(
             version, at, batch_id, size["rows"], size["orders"],
             paths["processed_path"], paths["quarantine_path"], paths["report_path"], sample,

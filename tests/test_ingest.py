@@ -148,3 +148,16 @@ def test_streamed_files_become_batches_and_replays_do_not(spark, workspace, tmp_
     # Starting over replays batch number 0; the ledger knows it.
     run(str(tmp_path / "cp2"))
     assert workspace.batches().count() == 2
+
+
+def test_generated_batch_passes_the_checks(spark):
+    from orderlight.operators.validation import check_items
+    from orderlight.sources.items import generated_items, with_order
+
+    df = generated_items(spark, 2000)
+    assert rows(df, "increment_id", "grand_total") == rows(generated_items(spark, 2000), "increment_id", "grand_total")
+    out = check_items(with_order(df))
+    assert out.counts["valid_rows"] == 2000
+    share = {r["payment_method"]: r["count"] / 2000 for r in df.groupBy("payment_method").count().collect()}
+    assert abs(share["cod"] - 0.48) < 0.05 and len(share) == 4
+    assert df.select("status").distinct().count() == 2
