@@ -795,7 +795,7 @@ def new_data_request(t: Tables) -> DataFrame:
 def needed_requests(t: Tables) -> DataFrame:
     """Trigger signals that no open request covers."""
     wanted = t.request_log.select("model_version", "dataset_version", "trigger_type").distinct()
-    recent = retraining.request_status(t.request_log).filter(F.col("updated_at") >= "2024-01-30")
+    recent = retraining.request_status(t.request_log).filter(F.col("updated_at") >= "2024-01-30 21:00:00")
     return retraining.needed_requests(wanted, recent)
 
 

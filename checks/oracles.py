@@ -730,6 +730,9 @@ SELECT order_id, CAST(place AS INTEGER) AS place, feature, {r('impact', 9)} AS i
 # ---- models and retraining ----
 
 oracle("split_check", "SELECT split, count(*) AS rows, count(DISTINCT is_canceled) = 2 AS both_classes FROM d_split GROUP BY 1")
+oracle("preprocess", """
+SELECT l.order_id, l.split, CAST((SELECT 10 + count(DISTINCT 'C' || CAST(o_custkey % 7 AS VARCHAR)) + count(DISTINCT CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN NULL
+  ELSE o_orderpriority END) FROM orders JOIN d_split t ON t.order_id = CAST(o_orderkey AS VARCHAR) WHERE t.split = 'train') AS INTEGER) AS width FROM d_split l""")
 oracle("qualify_models", "SELECT model_id, roc_gate, pr_gate, calibration_gate, recall_gate, business_gate, qualified FROM d_gates")
 oracle("legacy_score", f"SELECT model_id, {r('0.40::DOUBLE * test_roc_auc + 0.40::DOUBLE * test_pr_auc + 0.20::DOUBLE * (1 - test_brier)', 9)} AS score FROM d_models")
 oracle("model_comparison", """
@@ -746,7 +749,7 @@ SELECT 'retrain_' || substr(sha256('m1|' || dataset_version), 1, 10) AS request_
   'dataops' AS source, 'RETRAINING_REQUIRED' AS status, created_at AS updated_at FROM d_versions""")
 oracle("needed_requests", """
 SELECT DISTINCT model_version, dataset_version, trigger_type FROM d_request_log l WHERE NOT EXISTS (
-  SELECT 1 FROM d_requests q WHERE q.status IN ('RETRAINING_REQUIRED', 'RUNNING', 'CANDIDATE_READY') AND q.updated_at >= TIMESTAMP '2024-01-30'
+  SELECT 1 FROM d_requests q WHERE q.status IN ('RETRAINING_REQUIRED', 'RUNNING', 'CANDIDATE_READY') AND q.updated_at >= TIMESTAMP '2024-01-30 21:00:00'
     AND q.model_version = l.model_version AND q.dataset_version = l.dataset_version AND q.trigger_type = l.trigger_type)""")
 oracle("request_status", "SELECT * FROM d_requests")
 oracle("training_snapshot", "SELECT least(6000, count(*)) AS training_rows, count(*) AS source_rows FROM d_labeled")

@@ -95,7 +95,7 @@ class Tables:
 
     @cached_property
     def checked(self) -> DataFrame:
-        return checked_rows(self.raw_items)
+        return checked_rows(stored(self.raw_items, "items"))
 
     @cached_property
     def valid(self) -> DataFrame:
