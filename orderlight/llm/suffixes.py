@@ -42,9 +42,9 @@ def _anchors(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int = LENGTH):
-    """Yields (first text, its joined bytes, keys, starts, counts, texts) per chunk of texts: runs of string starts
-    with the same anchor. The strings of a segment start at ``start .. start + count - 1`` of the joined bytes.
-    Equal strings always lie in segments of equal keys."""
+    """Yields (texts' slice, their joined bytes, their ends in it, keys, starts, counts) per chunk of texts: runs of
+    string starts with the same anchor. The strings of a segment start at ``start .. start + count - 1`` of the joined
+    bytes. Equal strings always lie in segments of equal keys."""
     first = 0
     while first < len(texts):
         last, size = first, 0
@@ -53,9 +53,9 @@ def segments(texts: list[bytes], length: int = LENGTH):
             last += 1
         chunk = texts[first:last]
         data = np.frombuffer(b"".join(chunk), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, chunk), np.int64, len(chunk)))
+        key, starts, counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         if len(data) >= length:
-            sizes = np.fromiter(map(len, chunk), np.int64, len(chunk))
-            ends = np.cumsum(sizes)
             low = _anchors(data, length)
             valid = np.ones(len(low), bool)
             for back in range(1, length):  # no string crosses the end of a text
@@ -72,8 +72,8 @@ def segments(texts: list[bytes], length: int = LENGTH):
                 whole = np.repeat(counts, cuts)
                 starts = np.repeat(starts, cuts) + inner * RUN
                 counts = np.minimum(RUN, whole - inner * RUN)
-            if len(starts):
-                yield first, data, low[starts], starts, counts, np.searchsorted(ends, starts, side="right")
+            key = low[starts]
+        yield slice(first, last), data, ends, key, starts, counts
         first = last
 
 
@@ -172,179 +172,232 @@ def _texts(one: pa.Table) -> tuple[list[bytes], np.ndarray]:
     return one.column("text").to_pylist(), one.column("doc").to_numpy()
 
 
-def _names(data: np.ndarray, starts, counts, length: int) -> list[int]:
+def _names(data: np.ndarray, starts, counts, length: int) -> np.ndarray:
     """A 64-bit name of each segment's bytes."""
     raw, digest = data.tobytes(), xxhash.xxh64_intdigest
-    return [digest(raw[s : s + c + length - 1], 11) for s, c in zip(starts.tolist(), counts.tolist())]
+    found = [digest(raw[s : s + c + length - 1], 11) for s, c in zip(starts.tolist(), counts.tolist())]
+    return np.array(found, np.uint64)
+
+
+def _joined(one: pa.Table, column: str, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in one.column(column).to_pylist())])
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Positions of ``values`` that the sorted array ``known`` holds."""
+    if not len(known):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values)
+
+
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
+
+
+def _by_bucket(keys: np.ndarray, buckets: int):
+    """Order of the keys by bucket, and the (bucket, from, to) that have any."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    return order, [(b, x, y) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+
+
+def _shared(buckets: int, key: np.ndarray) -> np.ndarray:
+    """An anchor's mark: its bucket and 32 other bits."""
+    return (key % np.uint64(buckets)) << np.uint64(32) | key >> np.uint64(32)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, batch_mb: float = 32, least: int = 24) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans and ``kept``, the text's bytes without each
     byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
-    Four passes over texts that are dealt once, by a hash of doc_id. (1) Each string belongs to its anchor, the
-    substring in it with the smallest hash; a batch of documents sends each anchor once. (2) Anchors are met per bucket;
-    each batch hears which of its own are in another document too. Only those can hold repeated strings. (3) Batches
-    send their different segments (all strings of one anchor in a row, as one string) with their least doc_id once; per
-    bucket of anchors, shards of the segments get Burrows-Wheeler transforms, which are merged by interleave refinement;
-    intervals with a common prefix of ``length`` give each string's least document. An anchor with one segment needs no
-    merge. (4) Batches apply the answers to their documents. A passage in any number of documents costs one segment a
-    batch, and no list of documents is ever gathered.
+    Passes over texts that are dealt once, to batches by a hash of doc_id. (1) Each string belongs to its anchor, the
+    substring in it with the smallest hash; a batch sends a mark of each anchor once. (2) Marks meet per bucket; each
+    batch hears which of its own another document has too. Only those anchors can hold repeated strings. (3) Batches
+    name their different segments of such anchors (all strings of one anchor in a row), each once, with its least
+    document. An anchor with one segment everywhere is settled by that. (4) Of the others, one batch sends each
+    segment's bytes; per bucket, shards of the segments get Burrows-Wheeler transforms, which are merged by interleave
+    refinement; intervals with a common prefix of ``length`` give each string's least document. (5) Batches apply the
+    answers to their documents. A passage in any number of documents costs one name a batch, and no list of documents
+    is ever gathered.
 
     Null texts are empty; a null doc_id counts as larger than any other; rows with equal doc_id don't remove from
-    each other. Segments are named by 64 bits beside the anchor's 64. An empty table gives none.
+    each other. Segments go by 64-bit names. An empty table gives none.
     """
     batches = parts_for(docs, "text", batch_mb, least)
     buckets = batches * 8
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("doc"), as_bytes(F.col("text")).alias("text"))
     dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
-    blobs = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("one", pa.binary()), ("more", pa.binary())])
+    marked = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("one", pa.binary()), ("more", pa.binary())])
 
     def anchors(one: pa.Table) -> pa.Table:
         texts, ids = _texts(one)
         keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for first, _, key, _, _, which in segments(texts, length):
+        for some, _, ends, key, starts, _ in segments(texts, length):
             keys.append(key)
-            owners.append(ids[first + which])
+            owners.append(ids[some][np.searchsorted(ends, starts, side="right")])
         key, owner = np.concatenate(keys), np.concatenate(owners)
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-        last = np.append(at[1:], len(key)) - 1
-        many = owner[at] != owner[last]
+        many = owner[at] != owner[np.append(at[1:], len(key)) - 1] if len(key) else np.empty(0, bool)
         key = key[at]
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        key, many, bucket = key[order], many[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        order, cuts = _by_bucket(key, buckets)
+        mark, many = (key[order] >> np.uint64(32)).astype(np.uint32), many[order]
         batch = one.column("batch")[0].as_py()
-        rows = [(b, batch, key[x:y][~many[x:y]].tobytes(), key[x:y][many[x:y]].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, blobs.types)], schema=blobs)
+        return _rows(marked, [(b, batch, mark[x:y][~many[x:y]].tobytes(), mark[x:y][many[x:y]].tobytes()) for b, x, y in cuts])
 
-    heard = pa.schema([("batch", pa.int32()), ("known", pa.binary())])
+    heard = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("known", pa.binary())])
 
     def shared(one: pa.Table) -> pa.Table:
-        batch = one.column("batch").to_pylist()
-        single = [np.frombuffer(x, np.uint64) for x in one.column("one").to_pylist()]
-        several = [np.frombuffer(x, np.uint64) for x in one.column("more").to_pylist()]
-        every = np.sort(np.concatenate([np.concatenate(p) for p in zip(single, several)]))
+        bucket = one.column("bucket")[0].as_py()
+        sides = [[np.unique(np.frombuffer(x, np.uint32)) for x in one.column(c).to_pylist()] for c in ("one", "more")]
+        every = np.sort(np.concatenate([*sides[0], *sides[1]]))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        out: dict[int, list] = {}
-        for b, x, y in zip(batch, single, several):
-            found = np.concatenate([x[np.isin(x, twice)], y])
-            if len(found):
-                out.setdefault(b, []).append(found)
-        return pa.Table.from_arrays([pa.array([*out], pa.int32()), pa.array([np.concatenate(v).tobytes() for v in out.values()], pa.binary())], schema=heard)
-
-    sent = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("key", pa.int64()), ("name", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("segment", pa.binary())])
-
-    def differing(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The batch's segments of shared anchors, each once."""
-        rows: dict[tuple[int, int], list] = {}
-        if left.num_rows and right.num_rows:
-            known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("known").to_pylist()]))
-            texts, ids = _texts(left)
-            for first, data, key, starts, counts, which in segments(texts, length):
-                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
-                raw = data.tobytes()
-                names = _names(data, starts[at], counts[at], length)
-                for k, n, s, c, doc in zip(key[at].tolist(), names, starts[at].tolist(), counts[at].tolist(), ids[first + which[at]].tolist()):
-                    row = rows.get((k, n))
-                    if row is None:
-                        rows[k, n] = [doc, doc, raw[s : s + c + length - 1]]
-                    elif doc < row[0]:
-                        row[0] = doc
-                    elif doc > row[1]:
-                        row[1] = doc
-        batch = left.column("batch")[0].as_py() if left.num_rows else 0
-        key, name = (np.array([x[i] for x in rows], np.uint64) for i in (0, 1))
-        columns = [(key % np.uint64(buckets)).astype(np.int32), np.full(len(rows), batch, np.int32), key.view(np.int64), name.view(np.int64)]
-        columns += [[r[i] for r in rows.values()] for i in range(3)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, sent.types)], schema=sent)
-
-    answer = pa.schema([("batch", pa.int32()), ("keys", pa.binary()), ("names", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary())])
-
-    def resolved(one: pa.Table) -> pa.Table:
-        """Each batch's segments with the least document of each of their strings, where that is a smaller one."""
-        key, name, batch, least, most = (one.column(c).to_numpy() for c in ("key", "name", "batch", "least", "most"))
-        order = np.lexsort((name, key))
-        k, n = key[order], name[order]
-        fresh = np.append(True, (k[1:] != k[:-1]) | (n[1:] != n[:-1]))
-        at = np.flatnonzero(fresh)
-        owner = np.minimum.reduceat(least[order], at)  # of each different segment
-        anchor = k[at]
-        crowd = np.zeros(len(at), bool)
-        crowd[1:] |= anchor[1:] == anchor[:-1]
-        crowd[:-1] |= anchor[1:] == anchor[:-1]
-        text = one.column("segment")
+        found = [np.concatenate([x[_among(twice, x)], y]) for x, y in zip(*sides)]
+        return _rows(heard, [(b, bucket, f.tobytes()) for b, f in zip(one.column("batch").to_pylist(), found) if len(f)])
+
+    named = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("key", pa.binary()), ("name", pa.binary()), ("least", pa.binary()), ("most", pa.binary())])
+
+    def names(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The batch's different segments of shared anchors, with the smallest and the largest document of each."""
+        if not left.num_rows or not right.num_rows:
+            return _rows(named, [])
+        known = np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(right.column("bucket").to_pylist(), right.column("known").to_pylist())])
+        known.sort()
+        texts, ids = _texts(left)
+        parts: list[list] = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]]
+        for some, data, ends, key, starts, counts in segments(texts, length):
+            at = _among(known, _shared(buckets, key))
+            for part, values in zip(parts, (key[at], _names(data, starts[at], counts[at], length), ids[some][np.searchsorted(ends, starts[at], side="right")])):
+                part.append(values)
+        key, name, doc = (np.concatenate(p) for p in parts)
+        if not len(key):
+            return _rows(named, [])
+        order = np.lexsort((doc, name))
+        key, name, doc = key[order], name[order], doc[order]
+        at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+        key, name, low, high = key[at], name[at], doc[at], doc[np.append(at[1:], len(doc)) - 1]
+        order, cuts = _by_bucket(key, buckets)
+        key, name, low, high = key[order], name[order], low[order], high[order]
+        batch = left.column("batch")[0].as_py()
+        return _rows(named, [(b, batch, key[x:y].tobytes(), name[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes()) for b, x, y in cuts])
+
+    def met(one: pa.Table):
+        """All named segments of a bucket by anchor and name: key, name, batch, least, most, the place of each different
+        segment, and which of those share their anchor with another."""
+        key, name, low, high = (_joined(one, c, t) for c, t in (("key", np.uint64), ("name", np.uint64), ("least", np.int64), ("most", np.int64)))
+        batch = np.repeat(np.array(one.column("batch").to_pylist()), [len(x) // 8 for x in one.column("key").to_pylist()])
+        order = np.lexsort((batch, name, key))
+        key, name, batch, low, high = key[order], name[order], batch[order], low[order], high[order]
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
+        same = key[at][1:] == key[at][:-1]
+        return key, name, batch, low, high, at, np.append(same, False) | np.append(False, same)
+
+    asked = pa.schema([("batch", pa.int32()), ("names", pa.binary())])
+
+    def crowded(one: pa.Table) -> pa.Table:
+        """Of anchors with several segments: each segment's name, to one batch that has it."""
+        _, name, batch, _, _, at, several = met(one)
+        at = at[several]
+        at = at[np.argsort(batch[at], kind="stable")]
+        return _rows(asked, [(int(batch[x[0]]), name[x].tobytes()) for x in np.split(at, np.flatnonzero(np.diff(batch[at])) + 1) if len(x)])
+
+    sent = pa.schema([("bucket", pa.int32()), ("names", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+
+    def spelled(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The bytes of the segments that the batch was asked for."""
+        if not left.num_rows or not right.num_rows:
+            return _rows(sent, [])
+        wanted = np.unique(_joined(right, "names", np.uint64))
+        known: dict[int, tuple[int, bytes]] = {}
+        for _, data, _, key, starts, counts in segments(_texts(left)[0], length):
+            name = _names(data, starts, counts, length)
+            raw = data.tobytes()
+            for i in _among(wanted, name).tolist():
+                if int(name[i]) not in known:
+                    known[int(name[i])] = (int(key[i]), raw[starts[i] : starts[i] + counts[i] + length - 1])
+        names_of = [*known]
+        anchors_of = np.array([known[n][0] for n in names_of], np.uint64)
+        order, cuts = _by_bucket(anchors_of, buckets)
+        rows = []
+        for b, x, y in cuts:
+            members = [names_of[i] for i in order[x:y].tolist()]
+            texts = [known[n][1] for n in members]
+            rows.append((b, np.array(members, np.uint64).tobytes(), np.array([len(t) for t in texts], np.int32).tobytes(), b"".join(texts)))
+        return _rows(sent, rows)
+
+    answer = pa.schema([("batch", pa.int32()), ("names", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary())])
+
+    def resolved(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each batch's segments with the least document of each of their strings, where that is a smaller one than
+        some document of the batch; one number where all strings have the same."""
+        if not left.num_rows:
+            return _rows(answer, [])
+        key, name, batch, low, high, at, several = met(left)
+        owner = np.minimum.reduceat(low, at)
         found: list[np.ndarray] = [owner[i : i + 1] for i in range(len(at))]
-        several = np.flatnonzero(crowd)
-        if len(several):
-            strings = [text[int(order[at[i]])].as_py() for i in several]
-            for i, owners in zip(several.tolist(), least_owner(strings, owner[several], length)):
+        which = np.flatnonzero(several)
+        if len(which):
+            texts: dict[int, bytes] = {}
+            for n, sizes, raw in zip(*(right.column(c).to_pylist() for c in ("names", "sizes", "bytes"))):
+                ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+                texts.update(zip(np.frombuffer(n, np.uint64).tolist(), (raw[a:b] for a, b in zip([0, *ends], ends))))
+            strings = [texts[n] for n in name[at[which]].tolist()]
+            for i, owners in zip(which.tolist(), least_owner(strings, owner[which], length)):
                 found[i] = owners[:1] if (owners == owners[0]).all() else owners
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(fresh) - 1
         lowest = np.array([o.min() for o in found])
-        useful = np.flatnonzero(lowest[group] < most)
+        group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+        useful = np.flatnonzero(lowest[group] < high)
         useful = useful[np.argsort(batch[useful], kind="stable")]
         rows = []
         for some in np.split(useful, np.flatnonzero(np.diff(batch[useful])) + 1) if len(useful) else []:
             answers = [found[g] for g in group[some].tolist()]
             counts = np.array([len(a) for a in answers], np.int32)
-            rows.append((int(batch[some[0]]), key[some].tobytes(), name[some].tobytes(), counts.tobytes(), np.concatenate(answers).tobytes()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, answer.types)], schema=answer)
+            rows.append((int(batch[some[0]]), name[some].tobytes(), counts.tobytes(), np.concatenate(answers).tobytes()))
+        return _rows(answer, rows)
 
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, ids = _texts(left)
-        covered: dict[int, list] = {}
-        if right.num_rows and len(texts):
-            join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in right.column(c).to_pylist()])
-            key, name, counts, owners = join("keys", np.uint64), join("names", np.uint64), join("counts", np.int32), join("owners", np.int64)
-            begin = np.cumsum(counts) - counts
-            place = {pair: i for i, pair in enumerate(zip(key.tolist(), name.tolist()))}
-            known = np.unique(key)
-            for first, data, k, starts, sizes, which in segments(texts, length):
-                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k)
-                base = np.concatenate([[0], np.cumsum([len(t) for t in texts[first : first + int(which.max()) + 1]])])
-                for a, kk, nn in zip(at.tolist(), k[at].tolist(), _names(data, starts[at], sizes[at], length)):
-                    i = place.get((kk, nn))
-                    if i is None:
-                        continue
-                    doc = first + int(which[a])
-                    start, n = int(starts[a] - base[which[a]]), int(sizes[a])
-                    values = owners[begin[i] : begin[i] + counts[i]]
-                    if len(values) == 1:
-                        if values[0] < ids[doc]:
-                            covered.setdefault(doc, []).append((start, start + n - 1 + length))
-                    else:
-                        for o in np.flatnonzero(values < ids[doc]).tolist():
-                            covered.setdefault(doc, []).append((start + o, start + o + length))
+        name, counts, owners = (_joined(right, c, t) for c, t in (("names", np.uint64), ("counts", np.int32), ("owners", np.int64)))
+        begin = np.cumsum(counts) - counts
+        order = np.argsort(name, kind="stable")
+        name, counts, begin = name[order], counts[order], begin[order]
         rows = []
-        for i, text in enumerate(texts):
-            runs: list[list[int]] = []
-            for a, b in sorted(covered.get(i, ())):
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], b)
-                else:
-                    runs.append([a, b])
-            kept, at = [], 0
-            for a, b in runs:
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            rows.append((len(text), sum(b - a for a, b in runs), len(runs), b"".join(kept)))
-        columns = [left.column("doc_id").to_pylist(), *(zip(*rows) if rows else [[]] * 4)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, result.types)], schema=result)
+        for some, data, ends, _, starts, sizes in segments(texts, length):
+            step = np.zeros(len(data) + 1, np.int32)
+            if len(name) and len(starts):
+                names_of = _names(data, starts, sizes, length)
+                at = _among(name, names_of)
+                place = np.searchsorted(name, names_of[at])
+                starts, sizes = starts[at], sizes[at]
+                doc = ids[some][np.searchsorted(ends, starts, side="right")]
+                flat = counts[place] == 1
+                gone = flat & (owners[begin[place]] < doc)
+                np.add.at(step, starts[gone], 1)
+                np.add.at(step, starts[gone] + sizes[gone] - 1 + length, -1)
+                for s, n, b, d in zip(starts[~flat].tolist(), sizes[~flat].tolist(), begin[place][~flat].tolist(), doc[~flat].tolist()):
+                    inside = s + np.flatnonzero(owners[b : b + n] < d)
+                    np.add.at(step, inside, 1)
+                    np.add.at(step, inside + length, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            for a, b in zip([0, *ends.tolist()], ends.tolist()):
+                out = gone[a:b]
+                removed = int(np.count_nonzero(out))
+                runs = int(out[0]) + int(np.count_nonzero(out[1:] & ~out[:-1])) if removed else 0
+                rows.append((b - a, removed, runs, data[a:b][~out].tobytes() if removed else data[a:b].tobytes()))
+        return _rows(result, [(i, *r) for i, r in zip(left.column("doc_id").to_pylist(), rows)])
 
     per_batch = dealt.groupBy("batch")
     marks = per_batch.applyInArrow(anchors, "bucket int, batch int, one binary, more binary")
-    lists = marks.groupBy("bucket").applyInArrow(shared, "batch int, known binary")
-    parts = per_batch.cogroup(lists.groupBy("batch")).applyInArrow(differing, "bucket int, batch int, key long, name long, least long, most long, segment binary")
-    answers = parts.groupBy("bucket").applyInArrow(resolved, "batch int, keys binary, names binary, counts binary, owners binary")
+    lists = marks.groupBy("bucket").applyInArrow(shared, "batch int, bucket int, known binary")
+    segments_of = per_batch.cogroup(lists.groupBy("batch")).applyInArrow(names, "bucket int, batch int, key binary, name binary, least binary, most binary")
+    asks = segments_of.groupBy("bucket").applyInArrow(crowded, "batch int, names binary")
+    spelt = per_batch.cogroup(asks.groupBy("batch")).applyInArrow(spelled, "bucket int, names binary, sizes binary, bytes binary")
+    answers = segments_of.groupBy("bucket").cogroup(spelt.groupBy("bucket")).applyInArrow(resolved, "batch int, names binary, counts binary, owners binary")
     return per_batch.cogroup(answers.groupBy("batch")).applyInArrow(applied, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
