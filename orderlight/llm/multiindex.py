@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlight.llm.base import table
+from orderlight.llm.base import smallest_hashes, table
 from orderlight.llm.components import connected, forest
 from orderlight.session import small_side, stored
 
@@ -82,7 +82,7 @@ def visits_for(sample: np.ndarray, books, cosine: float, recall: float, most: in
 def fit(classes: DataFrame, dim: int, n: int, cosine: float = COSINE, recall: float = RECALL, rows: int = SAMPLE):
     """Codebooks of both halves from at most ``rows`` vectors, and the number of cells to visit. The grid has about
     one cell for 32 vectors of a label on average, so cells stay small as the table grows."""
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(rows).select("embedding").toPandas()["embedding"]
+    sample = smallest_hashes(classes.select("cid", "embedding"), F.xxhash64("cid"), rows).toPandas()["embedding"]
     sample = unit(np.array(sample.tolist(), np.float64).reshape(-1, dim))
     size = max(2, min(1024, math.ceil(math.sqrt(n / 32))))
     half = dim // 2

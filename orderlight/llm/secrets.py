@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlight.llm.base import table
+from orderlight.llm.base import smallest_hashes, table
 
 # Kind, pattern, and what a match needs. Runs of a fixed class are asked for at their least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -55,7 +55,7 @@ def train(docs: DataFrame, documents: int = SAMPLE, prior: float = 0.5) -> str:
     them ordinary ones, from the ``documents`` with the smallest hashes. Each model is a first-order chain over
     the characters seen, smoothed by ``prior``; without any random sample the random model is uniform."""
     text = F.coalesce("text", F.lit(""))
-    sample = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(documents)
+    sample = smallest_hashes(docs.select(text.alias("text")), F.xxhash64("text"), documents)
     found = sample.select("text", base_spans(F.col("text")).alias("spans"))
     random = found.select(F.explode("spans").alias("s")).select(F.lit(1).alias("kind"), _secret(F.col("s")).alias("t"))
     words = F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlight.llm.base import table
+from orderlight.llm.base import smallest_hashes, table
 from orderlight.session import stored
 
 # Characters that stand for a Latin letter, and phrases in which a lexicon word is harmless.
@@ -123,7 +123,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFram
     """(text, toxic) of at most ``rows`` labelled documents outside the held-out quarter, by the smallest hash of
     their id. A document labelled twice counts as toxic if any label says so; equal texts count once."""
     chosen = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "_id")
+    chosen = smallest_hashes(chosen, F.xxhash64("doc_id"), rows).withColumnRenamed("doc_id", "_id")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     return stored(found.groupBy(F.xxhash64("text").alias("h")).agg(F.max_by("text", "doc_id").alias("text"), F.max("toxic").alias("toxic")), "labelled")
 
