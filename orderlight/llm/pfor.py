@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -118,54 +119,67 @@ def from_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if n else d for d, n in zip(known.tolist(), null)], sizes, decode_blocks(data, starts, total, block)
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies use for each byte: itself where it prints, else the next from 256 on."""
+    own = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    rest = iter(range(256, 512))
+    return [own.get(b) or chr(next(rest)) for b in range(256)]
+
+
+class Remembered(dict):
+    """Values of ``make``, remembered until there are ``most``."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
 class Encoder:
     """The vocabulary's ids of whole texts. White space always parts words there, so a text's ids are those of its
-    words, and a task remembers the words it has seen. ASCII words are split as the vocabulary does and their parts go
-    to its model; any other word goes through the tokenizer whole, as do words that may hold a special token."""
+    words, and a task remembers the words it has seen. Words of Latin letters and ASCII are lower-cased and split as the
+    vocabulary does, and their parts go to its model; any other word goes through the tokenizer whole, as do words
+    that may hold a special token."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.memory, self.words, self.parts = memory, {}, {}
+        self.letters = byte_letters()
         self.pieces = regex.compile(PIECES)
         self.odd = re.compile(r"[\x1c-\x1f]")  # white space to str.split() only
+        self.words, self.parts = Remembered(self._word, memory), Remembered(self._part, memory)
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= self.memory:
-                self.parts.clear()
-            found = np.array([t.id for t in self.model.tokenize(part)], "<u4").astype("<u2").tobytes()
-            self.parts[part] = found
-        return found
+        if not part.isascii():
+            letters = self.letters
+            part = "".join([letters[b] for b in part.encode()])
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and "<|" not in word:
+        # Below U+0250 lower-casing is plain but for one letter, and composed forms stay as they are.
+        if word.isprintable() and max(word) < "\u0250" and "<|" not in word and "\u0130" not in word:
+            word = word.lower()
             if word.isalpha():
-                return self._part(word.lower())
-            return b"".join([self._part(p) for p in self.pieces.findall(word.lower())])
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").astype("<u2").tobytes()
+                return self.parts[word]
+            if word[:-1].isalpha() and word[-1] in ".,!?;:":
+                return self.parts[word[:-1]] + self.parts[word[-1]]
+            return b"".join([self.parts[p] for p in self.pieces.findall(word)])
+        return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian 16-bit ids; the vocabulary has fewer than 2^16."""
         if self.odd.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").astype("<u2").tobytes()
-        words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) >= self.memory:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
-
-
-def write_tokens(docs: DataFrame, path: str, root: str, end: int = END, part_mb: float = 8) -> int:
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+def write_tokens(docs: DataFrame, path: str, root: str, end: int = END, part_mb: float = 32) -> int:
     """Encodes ``docs`` (doc_id, text) and writes one file per range of ascending doc_id (null first, equal ids by a
     hash of their texts) to ``root``, a folder all executors reach. Null texts count as empty: just the end id.
     A file is written under a name of its attempt and then moved, so a repeated task replaces it by the same bytes.
