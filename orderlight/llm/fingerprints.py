@@ -7,12 +7,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlight.llm.base import as_bytes, parts_for, shingle_hashes
-from orderlight.session import stored
 
 WIDTH = 5  # words in a shingle
 SCALE = 8  # one hash in so many is kept
@@ -64,9 +62,9 @@ def merged(sketches: list[np.ndarray], scale: int = SCALE) -> np.ndarray:
 
 _ROW = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
-    "near_edited double, near_next double, jaccard_edited double, part int, head string, open string"
+    "near_edited double, near_next double, jaccard_edited double"
 )
-RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "jaccard_edited"]
+_ENDS = "first_id long, first_h long, head string, doc_id long, open string"
 
 
 def edited(text: str, after: str) -> str:
@@ -105,33 +103,39 @@ def edit_likeness(docs: DataFrame, width: int = WIDTH, scale: int = SCALE, part_
     """Per row of ``docs`` (doc_id, text): sketch, sketch of the edited text, and likenesses.
 
     The next document is the one with the next smaller doc_id (null is smallest; equal ids in the
-    order of a hash of their texts), and the first one for the last. Texts move once, to sorted
-    ranges; a range hands the texts at its two ends on, one row each, to close the gaps between ranges.
+    order of a hash of their texts), and the first one for the last. Texts move once, to ranges that are walked in
+    order; each range also gives its first and last text, one row a range, to close the gaps between ranges.
     A null text counts as empty; a table with one row is its own next; an empty table gives no rows.
     Other columns are ignored. Repeated rows each get a result.
     """
     schema = _arrow(_ROW)
 
     def walk(batches):
-        part = TaskContext.get().partitionId()
-
         def rows():
-            held, head = None, None
+            held = None
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    text = text or ""
                     own = sketch(text.encode(), width, scale)
                     if held:
-                        yield _compare(*held, text, own, width, scale) | {"part": part, "head": head, "open": None}
-                        head = None
-                    else:
-                        head = text
+                        yield _compare(*held, text, own, width, scale)
                     held = (doc_id, text, own)
-            if held:
-                yield {n: None for n in schema.names} | {"doc_id": held[0], "part": part, "head": head, "open": held[1]}
 
         yield from _batches(rows(), schema)
 
+    def ends(batches):
+        """The range's first text, and its last document, whose next text is the first of another range."""
+        first = last = None
+        for batch in batches:
+            places = [(i is None, -(i or 0), h) for i, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            for k, better in ((min(range(len(places)), key=places.__getitem__), True), (max(range(len(places)), key=places.__getitem__), False)) if places else ():
+                row = (places[k], batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                if better and (first is None or row[0] < first[0]):
+                    first = row
+                elif not better and (last is None or row[0] > last[0]):
+                    last = row
+        if first:
+            yield pa.RecordBatch.from_pylist([{"first_id": first[1], "first_h": first[0][2], "head": first[2], "doc_id": last[1], "open": last[2]}], _arrow(_ENDS))
+
     def close(batches):
         def rows():
             for batch in batches:
@@ -141,22 +145,23 @@ def edit_likeness(docs: DataFrame, width: int = WIDTH, scale: int = SCALE, part_
                         r["after"], sketch(r["after"].encode(), width, scale), width, scale,
                     )
 
-        yield from _batches(rows(), pa.schema([schema.field(n) for n in RESULT]))
-
-    keys = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    ranges = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = ranges.repartitionByRange(parts_for(docs, "text", part_mb), *keys).sortWithinPartitions(*keys)
-    walked = stored(ranges.mapInArrow(walk, _ROW), "sketches")
-    done = walked.where("open is null").select(RESULT)
-    # One row per range, so this ordered window stays small.
-    order = Window.orderBy("part")
-    heads = walked.where("head is not null").select("part", F.col("head").alias("after"))
-    following = heads.select("part", F.lead("part").over(order).alias("next"), F.min("part").over(Window.partitionBy()).alias("first"))
-    following = following.select(F.coalesce("next", "first").alias("next"), "part")
-    ends = walked.where("open is not null").select("doc_id", "open", "part").join(following, "part")
-    ends = ends.join(heads.withColumnRenamed("part", "next"), "next").select("doc_id", "open", "after")
-    closed = ends.mapInArrow(close, ", ".join(x for x in _ROW.split(", ") if x.split()[0] in RESULT))
-    return done.unionByName(closed)
+        yield from _batches(rows(), schema)
+
+    keys = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ranges = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts_for(docs, "text", part_mb), *keys)
+    done = ranges.sortWithinPartitions(*keys).mapInArrow(walk, _ROW)
+    edge = ranges.mapInArrow(ends, _ENDS)
+    # Ranges are told apart by their first row: a task's number would depend on the plan around it. One narrow row per
+    # range, so the ordered window stays small; the texts come in by a join.
+    order = Window.orderBy(F.col("first_id").desc_nulls_last(), "first_h")
+    start = F.struct("first_id", "first_h")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = edge.select(start.alias("at"), F.coalesce(F.lead(start).over(order), F.first(start).over(whole)).alias("next"))
+    heads = edge.select(start.alias("_start"), F.col("head").alias("after"))
+    closed = edge.select("doc_id", "open", start.alias("_own")).join(following, F.col("_own").eqNullSafe(F.col("at")))
+    closed = closed.join(heads, F.col("next").eqNullSafe(F.col("_start"))).select("doc_id", "open", "after")
+    return done.unionByName(closed.mapInArrow(close, _ROW))
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
