@@ -17,6 +17,7 @@ LENGTH = 50  # bytes of a string that counts
 ANCHOR = 24  # bytes of the substring that brings equal strings together
 RUN = 64  # strings of one segment, at most
 CHUNK = 1 << 18  # bytes that numpy handles at once
+LOT = 1 << 17  # bytes of segments whose transforms are merged at once, unless one anchor has more
 END = 255  # closes a segment in a shard; no UTF-8 text has this byte
 LAST = 2**63 - 1  # stands for a null doc_id
 
@@ -113,15 +114,16 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     symbols, base = np.concatenate(transforms), np.concatenate([[0], np.cumsum(sizes)])
     n = len(symbols)
     shard = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
+    rows = [np.arange(a, b, dtype=np.int32) for a, b in zip(base, base[1:])]
     closings = [int((t == END).sum()) for t in transforms]
     fixed = np.repeat(np.arange(len(sizes), dtype=np.uint8), closings)
     common = np.full(n, depth, np.int16)
     common[0] = 0
-    block = np.zeros(n, np.int64)
+    block = np.zeros(n, np.int32)
     for k in range(1, depth + 1):
-        row = np.empty(n, np.int64)
+        row = np.empty(n, np.int32)
         for s in range(len(sizes)):
-            row[shard == s] = np.arange(base[s], base[s + 1])
+            row[shard == s] = rows[s]
         read = symbols[row]
         order = np.argsort(read, kind="stable")
         read, before = read[order], block[order]
@@ -130,7 +132,7 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         parts = np.ones(n, bool)
         parts[1:] = (read[1:] != read[:-1]) | (before[1:] != before[:-1]) | (read[1:] == END)
         common[parts & (common == depth)] = k - 1
-        block = np.cumsum(parts)
+        block = np.cumsum(parts, dtype=np.int32)
         if parts.all():
             break
     return shard, common
@@ -345,8 +347,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, batch_mb: float = 32, least:
                 ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
                 texts.update(zip(np.frombuffer(n, np.uint64).tolist(), (raw[a:b] for a, b in zip([0, *ends], ends))))
             strings = [texts[n] for n in name[at[which]].tolist()]
-            for i, owners in zip(which.tolist(), least_owner(strings, owner[which], length)):
-                found[i] = owners[:1] if (owners == owners[0]).all() else owners
+            # Equal strings share their anchor, so anchors can be settled in small lots that stay in the cache.
+            size = np.cumsum([len(s) + 1 for s in strings])
+            fresh = np.flatnonzero(np.append(True, key[at[which]][1:] != key[at[which]][:-1]))
+            lot = (size[fresh] - 1) // LOT
+            cuts = [0, *fresh[1:][lot[1:] != lot[:-1]].tolist(), len(strings)]
+            for a, b in zip(cuts, cuts[1:]):
+                for i, owners in zip(which[a:b].tolist(), least_owner(strings[a:b], owner[which[a:b]], length)):
+                    found[i] = owners[:1] if (owners == owners[0]).all() else owners
         lowest = np.array([o.min() for o in found])
         group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
         useful = np.flatnonzero(lowest[group] < high)
