@@ -16,7 +16,7 @@ from orderlight.session import small_side, stored
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all words
 MOST = 2.0  # times a source's own words
-BLOCK = 20_000  # documents that one flight takes
+BLOCK = 4096  # documents that one flight takes
 
 
 def word_count(text: Column) -> Column:
