@@ -31,7 +31,7 @@ BLOCK_HEAD_SIZE = struct.calcsize(BLOCK_HEAD)
 BLOCK = 512
 PERCENTILE = 0.9  # of a block's values that the packed width holds
 END = 1  # id after each document
-MEMORY = 300_000  # words whose ids a task remembers
+MEMORY = 200_000  # words whose ids a task remembers
 
 # Fixed value: how the vocabulary splits lower-cased text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -179,7 +179,7 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-def write_tokens(docs: DataFrame, path: str, root: str, end: int = END, part_mb: float = 32) -> int:
+def write_tokens(docs: DataFrame, path: str, root: str, end: int = END, part_mb: float = 16) -> int:
     """Encodes ``docs`` (doc_id, text) and writes one file per range of ascending doc_id (null first, equal ids by a
     hash of their texts) to ``root``, a folder all executors reach. Null texts count as empty: just the end id.
     A file is written under a name of its attempt and then moved, so a repeated task replaces it by the same bytes.
