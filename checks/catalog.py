@@ -793,10 +793,10 @@ def new_data_request(t: Tables) -> DataFrame:
 
 @query
 def needed_requests(t: Tables) -> DataFrame:
-    """Trigger signals that no open request covers."""
-    wanted = t.request_log.select("model_version", "dataset_version", "trigger_type").distinct()
-    recent = retraining.request_status(t.request_log).filter(F.col("updated_at") >= "2024-01-30 21:00:00")
-    return retraining.needed_requests(wanted, recent)
+    """Trigger signals that no open request covers: those logged, and a manual one for each logged model and data set."""
+    logged = t.request_log.select("model_version", "dataset_version", "trigger_type")
+    wanted = logged.unionByName(logged.withColumn("trigger_type", F.lit("MANUAL_REQUEST"))).distinct()
+    return retraining.needed_requests(wanted, retraining.request_status(t.request_log))
 
 
 @query

@@ -745,11 +745,13 @@ SELECT s.model_version, eligible >= 100 AND (prediction_psi >= 0.25 OR severe >=
   CASE WHEN {_REASONS} <> '' THEN 'CONFIRMED_PERFORMANCE_DEGRADATION' WHEN sustained_drift THEN 'SUSTAINED_DATA_DRIFT' END AS trigger_type,
   {_REASONS} <> '' OR sustained_drift AS triggered FROM d_signals s JOIN sustained u ON s.model_version = u.model_version""")
 oracle("new_data_request", """
-SELECT 'retrain_' || substr(sha256('m1|' || dataset_version), 1, 10) AS request_id, 'm1' AS model_version, dataset_version, 'NEW_DATA_VERSION' AS trigger_type,
+SELECT 'retrain_' || sha256('m1|' || dataset_version) AS request_id, 'm1' AS model_version, dataset_version, 'NEW_DATA_VERSION' AS trigger_type,
   'dataops' AS source, 'RETRAINING_REQUIRED' AS status, created_at AS updated_at FROM d_versions""")
 oracle("needed_requests", """
-SELECT DISTINCT model_version, dataset_version, trigger_type FROM d_request_log l WHERE NOT EXISTS (
-  SELECT 1 FROM d_requests q WHERE q.status IN ('RETRAINING_REQUIRED', 'RUNNING', 'CANDIDATE_READY') AND q.updated_at >= TIMESTAMP '2024-01-30 21:00:00'
+SELECT DISTINCT model_version, dataset_version, trigger_type FROM (
+  SELECT model_version, dataset_version, trigger_type FROM d_request_log
+  UNION ALL SELECT model_version, dataset_version, 'MANUAL_REQUEST' FROM d_request_log) l WHERE NOT EXISTS (
+  SELECT 1 FROM d_requests q WHERE q.status IN ('RETRAINING_REQUIRED', 'RUNNING', 'CANDIDATE_READY')
     AND q.model_version = l.model_version AND q.dataset_version = l.dataset_version AND q.trigger_type = l.trigger_type)""")
 oracle("request_status", "SELECT * FROM d_requests")
 oracle("training_snapshot", "SELECT least(6000, count(*)) AS training_rows, count(*) AS source_rows FROM d_labeled")

@@ -16,8 +16,8 @@ def full_policy(policy: dict | None = None) -> dict[str, float]:
 
 
 def clip01(p: Column) -> Column:
-    """``p`` limited to [0, 1]; a missing score stays missing (``least`` alone would give 1)."""
-    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+    """``p`` limited to [0, 1]; a missing or NaN score is missing (``least`` alone would give 1)."""
+    return F.when(p.isNotNull() & ~F.isnan(p), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
 
 
 def economics(p: Column, policy: dict | None = None) -> dict[str, Column]:

@@ -12,7 +12,8 @@ from orderlight.functions.cleaning import strip
 
 
 def risk_level(p: Column, threshold: Column) -> Column:
-    return F.when(p >= threshold, "HIGH").otherwise("LOW")
+    # NaN is larger than any number; it counts as missing, as null does.
+    return F.when((p >= threshold) & ~F.isnan(p), "HIGH").otherwise("LOW")
 
 
 def risk_band(p: Column) -> Column:

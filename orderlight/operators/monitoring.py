@@ -196,7 +196,9 @@ def apply_outcomes(predictions: DataFrame, feedback: DataFrame, time: str) -> Da
         feedback.select(F.col("order_id").cast("string"), outcome_text(F.col("final_outcome")).alias("_outcome"), F.col(time).alias("_t"))
         .filter("order_id IS NOT NULL AND _outcome IS NOT NULL")
     )
-    last = usable.groupBy("order_id").agg(F.max_by("_outcome", "_t").alias("_outcome"))
+    # Of equal times the larger outcome text counts, so reruns agree.
+    moment = F.when(F.col("_t").isNotNull(), F.struct("_t", "_outcome"))
+    last = usable.groupBy("order_id").agg(F.max_by("_outcome", moment).alias("_outcome"))
     return (
         predictions.join(small_side(stored(last, "outcomes")), "order_id", "left")
         .withColumn("actual_outcome", F.coalesce(F.col("_outcome"), F.col("actual_outcome")))

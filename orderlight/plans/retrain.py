@@ -88,8 +88,8 @@ def run_retraining(
             "SUCCESS" if result.candidate_id else "WARNING", f"Retraining completed for {version}")
         return {**request, "status": status, **summary}, result
     except Exception as error:
-        _state(ws, request, "FAILED", done_at, error=str(error)[:500])
-        ws.log_event(f"retrain_failed_{request['request_id']}", done_at, "MODEL_RETRAINING", "FAILED", str(error)[:500])
+        _state(ws, request, "FAILED", done_at, error=str(error))
+        ws.log_event(f"retrain_failed_{request['request_id']}", done_at, "MODEL_RETRAINING", "FAILED", str(error))
         raise
 
 

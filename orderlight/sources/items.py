@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from orderlight.functions.cleaning import quoted
 
 
-def read_items(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_items(spark: SparkSession, path: str | list[str], line_breaks: bool = False) -> DataFrame:
     """CSV batch as text columns plus ``_ord``, the row order of the source. Fully blank
-    lines are not records. Types are decided later, by the checks."""
+    lines are not records. Types are decided later, by the checks.
+
+    ``line_breaks``: quoted fields may hold line breaks. A file is then read by one task, so it
+    is for batches that come as many files; without it files are split at any line."""
     raw = (
         spark.read.option("header", True).option("inferSchema", False)
-        .option("multiLine", False).option("quote", '"').option("escape", '"').csv(path)
+        .option("multiLine", line_breaks).option("quote", '"').option("escape", '"').csv(path)
     )
     return with_order(without_blank_rows(raw))
 

@@ -69,33 +69,32 @@ def lifecycle_view(predictions: DataFrame, decision_log: DataFrame) -> DataFrame
     return order_lifecycle(predictions, decision_log)
 
 
-def risk_trend_stream(predictions: DataFrame, every: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Windowed average risk of production traffic with a bound on lateness."""
-    mode = scoring_mode(F.col("scoring_mode"))
+def risk_trend_parts(batch: DataFrame, every: str = "1 day") -> DataFrame:
+    """Counts and sums per window of one micro-batch of production traffic."""
     return (
-        predictions.filter(is_production(mode))
-        .withWatermark("predicted_at", late)
+        batch.filter(is_production(scoring_mode(F.col("scoring_mode"))))
         .groupBy(F.window("predicted_at", every).alias("w"))
-        .agg(F.count("*").alias("predictions"), F.avg("probability").alias("average_risk"))
-        .select(F.col("w.start").alias("window_start"), "predictions", "average_risk")
+        .agg(F.count("*").alias("predictions"), F.count("probability").alias("scored"), F.sum("probability").alias("risk"))
+        .select(F.col("w.start").alias("window_start"), "predictions", "scored", "risk")
     )
 
 
 def start_risk_trend(predictions: DataFrame, path: str, checkpoint: str, every: str = "1 day") -> StreamingQuery:
-    """Upsert of updated windows: every micro-batch writes the windows it changed; readers take
-    the row with the most predictions per window."""
+    """Every micro-batch writes what it adds to its windows. No watermark: a prediction counts
+    however late it arrives. The batch number is part of the path, so a replay overwrites itself."""
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/micro={number}")
+        risk_trend_parts(batch, every).write.mode("overwrite").parquet(f"{path}/micro={number}")
 
     return (
-        risk_trend_stream(predictions, every).writeStream.foreachBatch(run).outputMode("update")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        predictions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
 def current_trend(stored_windows: DataFrame) -> DataFrame:
+    """Windows with the parts of all micro-batches added up."""
     return stored_windows.groupBy("window_start").agg(
-        F.max("predictions").alias("predictions"),
-        F.max_by("average_risk", "predictions").alias("average_risk"),
+        F.sum("predictions").alias("predictions"),
+        F.try_divide(F.sum("risk"), F.sum("scored")).alias("average_risk"),
     )
