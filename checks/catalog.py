@@ -423,7 +423,7 @@ def validation_report(t: Tables) -> DataFrame:
     counts = validation.row_check_counts(t.checked).first().asDict()
     odd = t.inconsistent.count()
     rows = validation.report_rows(counts, "increment_id") + [(
-        "order_status_consistency", "WARN" if odd else "PASS", odd, "Orders with multiple final statuses quarantined")]
+        "order_status_consistency", "WARN" if odd else "PASS", odd, "Orders whose items end in different statuses")]
     return t.spark.createDataFrame(rows, validation.REPORT_SCHEMA)
 
 
@@ -743,9 +743,7 @@ def split_check(t: Tables) -> DataFrame:
 
 @query
 def split_manifest(t: Tables) -> DataFrame:
-    p = training.prepared_snapshot(t.history)
-    rows = [(p.manifest["split_id"], p.manifest["strategy"], s["split"], s["rows"]) for s in p.stats]
-    return t.spark.createDataFrame(rows, "split_id STRING, strategy STRING, split STRING, rows BIGINT")
+    return training.split_manifest(sampling.temporal_split(t.labeled))
 
 
 @query
@@ -818,16 +816,11 @@ def _training_orders(t: Tables) -> DataFrame:
         TARGET, ((c("customer_cancel_rate") > 0.55) | ((c("is_cod") == 1) & (c("price") > 200))).cast("int"))
 
 
-SMALL_BUDGETS = {
-    "logistic_regression": {"max_iter": 50},
-    "random_forest": {"n_estimators": 10, "max_depth": 6},
-    "boosted_trees": {"n_estimators": 8, "max_depth": 4, "learning_rate": 0.3},
-}
 METRICS = ["model_family", "threshold", "val_roc_auc", "val_pr_auc", "val_brier", "test_roc_auc", "test_pr_auc", "qualified", "selected_candidate"]
 
 
 def _one_family(t: Tables, family: str) -> DataFrame:
-    return training.train_suite(_training_orders(t), "v1", [family], SMALL_BUDGETS).records.select(*METRICS)
+    return training.train_suite(_training_orders(t), "v1", [family]).records.select(*METRICS)
 
 
 @query
@@ -859,32 +852,31 @@ def train_gbt(t: Tables) -> DataFrame:
 
 @query
 def train_suite(t: Tables) -> DataFrame:
-    return training.train_suite(_training_orders(t), "v1", overrides=SMALL_BUDGETS).records.select(*METRICS)
+    return training.train_suite(_training_orders(t), "v1").records.select(*METRICS)
 
 
 @query
 def tuned_run(t: Tables) -> DataFrame:
-    return training.tuned_run(_training_orders(t), "v1", "random_forest", {"n_estimators": 5, "max_depth": 4}).records.select(*METRICS)
+    return training.tuned_run(_training_orders(t), "v1", "random_forest", {"max_depth": 10, "min_samples_leaf": 5}).records.select(*METRICS)
 
 
 @query
 def cross_validate(t: Tables) -> DataFrame:
-    space = {"max_iter": [20, 40], "C": [0.1, 1.0]}
-    return training.cross_validate(
-        _training_orders(t), "logistic_regression", training.random_parameters(space, 2), folds=3)
+    space = {"max_iter": [200, 600], "C": [0.03, 0.1, 0.3, 1.0, 3.0]}
+    return training.cross_validate(_training_orders(t), "logistic_regression", training.random_parameters(space, 5))
 
 
 @query
 def feature_importance(t: Tables) -> DataFrame:
     p = training.prepared_snapshot(_training_orders(t))
-    model = training.fit_family(p, "random_forest", SMALL_BUDGETS["random_forest"])
-    return t.spark.createDataFrame(training.feature_importance(model)[:15], "feature STRING, importance DOUBLE")
+    model = training.fit_family(p, "random_forest")
+    return t.spark.createDataFrame(training.feature_importance(model), "feature STRING, importance DOUBLE")
 
 
 @query
 def model_risk_drivers(t: Tables) -> DataFrame:
     p = training.prepared_snapshot(_training_orders(t))
-    model = training.fit_family(p, "logistic_regression", SMALL_BUDGETS["logistic_regression"])
+    model = training.fit_family(p, "logistic_regression")
     test = p.table.filter(F.col("split") == "test")
     return explain.model_risk_drivers(test, lambda df: training.predicted(model, df, p.fill), p.fill)
 
@@ -905,14 +897,14 @@ def retraining_run(t: Tables) -> DataFrame:
     """Request, training and candidate on a stored version; production is untouched."""
     ws = _trained_workspace(t)
     request = retrain.create_request(ws, "m0", "v001", "NEW_DATA_VERSION", datetime(2002, 1, 2))
-    retrain.run_retraining(ws, request, datetime(2002, 1, 3), datetime(2002, 1, 4), overrides=SMALL_BUDGETS)
+    retrain.run_retraining(ws, request, datetime(2002, 1, 3), datetime(2002, 1, 4))
     status = retrain.current_requests(ws).first()["status"]
     return selection.current_status(ws.ledger("model_events")).select("model_id", "status", F.lit(status).alias("request_status"))
 
 
 @query
 def final_benchmark(t: Tables) -> DataFrame:
-    records, flags = retrain.final_benchmark(_training_orders(t), "v1", overrides=SMALL_BUDGETS)
+    records, flags = retrain.final_benchmark(_training_orders(t), "v1")
     return records.select(*METRICS).withColumns({k: F.lit(v) for k, v in flags.items()})
 
 

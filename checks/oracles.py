@@ -376,7 +376,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CASE WHEN o_orderstatus <> 'O' T
   CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 0 END AS is_canceled, CAST(3 AS BIGINT) AS prev_orders, o_orderstatus AS status FROM orders""")
 oracle("required_columns", """
 SELECT 'required_columns' AS check_name, 'FAIL' AS status, CAST(2 AS BIGINT) AS affected_rows,
-  'Missing: [''price'', ''status'']' AS details, count(*) AS quarantined_rows FROM d_items""")
+  'Absent: [''price'', ''status'']' AS details, count(*) AS quarantined_rows FROM d_items""")
 oracle("validate_items", """
 SELECT increment_id, sku, created_at, qty_ordered, price, status, row_reason AS quarantine_reason, count(*) AS copies FROM d_flagged
 GROUP BY increment_id, customer_id, created_at, sku, price, qty_ordered, grand_total, discount_amount, payment_method, category_name_1, status, row_reason""")
@@ -508,18 +508,18 @@ oracle("lookup", "SELECT model_id, val_roc_auc, test_roc_auc FROM d_models WHERE
 oracle("group_mode", """
 SELECT order_id, category_name_1 AS category_mode, payment_method AS payment_mode FROM d_category_mode JOIN d_payment_mode USING (order_id)""")
 _CHECKS = [
-    ("order_identifier", "missing_order_id", "Using increment_id; missing IDs quarantined"),
-    ("date_parsing", "invalid_created_at", "Unparseable created_at"),
-    *[(f"range_{c}", f"invalid_{c}", f"Invalid {c} values") for c in ("price", "qty_ordered", "grand_total", "discount_amount")],
-    ("target_status", "invalid_status", "Rows outside complete/canceled"),
+    ("order_identifier", "missing_order_id", "Orders are told apart by increment_id"),
+    ("date_parsing", "invalid_created_at", "Rows without a readable created_at"),
+    *[(f"range_{c}", f"invalid_{c}", f"Rows whose {c} is no number or out of range") for c in ("price", "qty_ordered", "grand_total", "discount_amount")],
+    ("target_status", "invalid_status", "Rows whose status is neither complete nor canceled"),
 ]
-oracle("validation_report", "SELECT 'required_columns' AS check_name, 'PASS' AS status, CAST(0 AS BIGINT) AS affected_rows, 'All required columns present' AS details\nUNION ALL "
+oracle("validation_report", "SELECT 'required_columns' AS check_name, 'PASS' AS status, CAST(0 AS BIGINT) AS affected_rows, 'No required column is absent' AS details\nUNION ALL "
        + "\nUNION ALL ".join(
            f"SELECT '{n}', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*), '{d}' FROM d_flagged WHERE contains(row_reason, '{reason};')" for n, reason, d in _CHECKS)
        + """
-UNION ALL SELECT 'duplicate_rows', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*), 'Exact duplicate rows' FROM d_flagged WHERE copy_no > 1
-UNION ALL SELECT 'leakage_guard', 'PASS', 0, 'Outcome columns are blocked from model features: [''BI Status'', ''bi_status'', ''canceled_at'', ''cancelled_at'', ''completed_at'', ''final_status'', ''is_canceled'', ''refund'', ''refund_status'', ''status'']'
-UNION ALL SELECT 'order_status_consistency', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*), 'Orders with multiple final statuses quarantined' FROM d_inconsistent""")
+UNION ALL SELECT 'duplicate_rows', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*), 'Rows equal to an earlier row' FROM d_flagged WHERE copy_no > 1
+UNION ALL SELECT 'leakage_guard', 'PASS', 0, 'Never used as features: [''BI Status'', ''bi_status'', ''canceled_at'', ''cancelled_at'', ''completed_at'', ''final_status'', ''is_canceled'', ''refund'', ''refund_status'', ''status'']'
+UNION ALL SELECT 'order_status_consistency', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*), 'Orders whose items end in different statuses' FROM d_inconsistent""")
 oracle("inconsistent_orders", "SELECT order_id FROM d_inconsistent")
 oracle("queue_counts", """
 SELECT count(*) FILTER (status = 'AWAITING_OPERATIONS_REVIEW') AS awaiting_review, count(*) FILTER (status = 'RELEASED_TO_FULFILLMENT') AS released,
@@ -666,6 +666,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY created_at DES
 for _name in ("cumulative_snapshot", "extended_snapshot"):
     oracle(_name, _HISTORY.format(source="d_merged"))
 oracle("active_version", "SELECT dataset_version, created_at, source_batch_id, row_count, order_count, active FROM d_version_states WHERE active")
+oracle("split_manifest", """
+SELECT split, count(*) AS orders, CAST(sum(is_canceled) AS BIGINT) AS canceled, min(created_at) AS first_at, max(created_at) AS last_at FROM d_split GROUP BY 1""")
 oracle("temporal_split", "SELECT order_id, split FROM d_split")
 oracle("quick_sample", """
 SELECT order_id, created_at FROM d_split WHERE n <= 1000 OR pos IN (SELECT (i * (n - 1)) // 999 FROM (SELECT unnest(range(1000)) AS i, (SELECT count(*) FROM d_labeled) AS n))""")

@@ -57,6 +57,8 @@ MODE_LABELS = {
     "legacy_or_unknown": "Legacy / unknown",
 }
 
+# --- Fixed values: default policy, gates, cuts and seed ---
+
 DEFAULT_POLICY = {
     "avoidable_fulfillment_cost": 2000.0,
     "intervention_effectiveness": 0.55,

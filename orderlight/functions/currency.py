@@ -20,7 +20,7 @@ INPUT_MONEY = ["price", "grand_total", "discount_amount"]
 def _checked(rate: float) -> float:
     rate = float(rate)
     if not rate > 0:
-        raise ValueError("PKR->USD exchange rate must be positive")
+        raise ValueError("rate must be above zero")
     return rate
 
 

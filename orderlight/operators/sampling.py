@@ -63,7 +63,7 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
 
 def band_quotas(total: int, shares: tuple[float, float, float] = BAND_SHARES) -> list[int]:
     if len(shares) != 3 or min(shares) < 0 or sum(shares) <= 0:
-        raise ValueError("proportions must contain three non-negative values")
+        raise ValueError("give one share per risk band, none negative, not all zero")
     scaled = [s / sum(shares) for s in shares]
     quotas = [math.floor(s * total) for s in scaled]
     largest_first = sorted(range(3), key=lambda i: -scaled[i])
@@ -129,27 +129,31 @@ def time_spanning_sample(df: DataFrame, n: int, time: str = "created_at", key: s
 
 
 def _boundaries(keys: DataFrame, positions: list[int], known: int, rows: int) -> dict[int, tuple[int | None, str]]:
-    """(time, key) at 0-based positions of (time, key) order, missing times last. Times are
-    exact order statistics; only the rows that share one of these times are ranked by key."""
+    """(time, key) at 0-based positions of (time, key) order, missing times last.
+
+    Order statistics are over doubles, which keep the order of times but merge neighbours beyond
+    2^53 microseconds. All rows that share the double of a wanted position are therefore ranked by
+    their whole times and keys."""
     inside = sorted({p for p in positions if p < rows})
     if not inside:
         return {}
     dated = [p for p in inside if p < known]
     found = order_statistics(keys, {"_t": dated}, {"_t": known}) if dated else {}
-    times = {p: int(found[("_t", p)]) if p < known else None for p in inside}
+    times = {p: found[("_t", p)] if p < known else None for p in inside}
+    rounded = F.col("_t").cast("double")
     distinct = sorted({t for t in times.values() if t is not None})
     if None in times.values():
         distinct.append(None)
 
-    def at(t: int | None) -> Column:
-        return F.col("_t").isNull() if t is None else F.coalesce(F.col("_t") == t, F.lit(False))
+    def at(t: float | None) -> Column:
+        return F.col("_t").isNull() if t is None else F.coalesce(rounded == t, F.lit(False))
 
     tied = F.lit(False)
     for t in distinct:
         tied = tied | at(t)
     size = keys.agg(
         *[F.count_if(at(t)).alias(f"n{i}") for i, t in enumerate(distinct)],
-        *[(F.count("_t") if t is None else F.count_if(F.col("_t") < t)).alias(f"b{i}") for i, t in enumerate(distinct)],
+        *[(F.count("_t") if t is None else F.count_if(rounded < t)).alias(f"b{i}") for i, t in enumerate(distinct)],
     ).first()
     starts, start = {}, 0
     for i, t in enumerate(distinct):
@@ -179,7 +183,7 @@ def temporal_split(
     edges = _boundaries(keys, cuts, known, rows)
 
     def before(position: int) -> Column:
-        if position not in edges:
+        if position >= rows:
             return F.lit(True)
         at, k = edges[position]
         if at is None:

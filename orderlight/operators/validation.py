@@ -133,28 +133,27 @@ def report_rows(counts: dict[str, int], order_column: str | None) -> list[tuple[
     def graded(name: str, rule: str, details: str):
         return (name, "PASS" if counts[rule] == 0 else "WARN", int(counts[rule]), details)
 
-    rows = [("required_columns", "PASS", 0, "All required columns present")]
+    rows = [("required_columns", "PASS", 0, "No required column is absent")]
     if order_column:
-        rows.append(graded("order_identifier", "missing_order_id", f"Using {order_column}; missing IDs quarantined"))
+        rows.append(graded("order_identifier", "missing_order_id", f"Orders are told apart by {order_column}"))
     else:
         rows.append((
             "order_identifier", "WARN", 0,
-            "No order identifier found; aggregation will create synthetic IDs. "
-            f"Expected one of: {ORDER_ID_CANDIDATES}",
+            f"None of {ORDER_ID_CANDIDATES} is there; each row becomes an order",
         ))
-    rows.append(graded("date_parsing", "invalid_created_at", "Unparseable created_at"))
-    rows += [graded(f"range_{c}", f"invalid_{c}", f"Invalid {c} values") for c in MONEY_COLUMNS]
-    rows.append(graded("target_status", "invalid_status", "Rows outside complete/canceled"))
-    rows.append(graded("duplicate_rows", "duplicate_row", "Exact duplicate rows"))
+    rows.append(graded("date_parsing", "invalid_created_at", "Rows without a readable created_at"))
+    rows += [graded(f"range_{c}", f"invalid_{c}", f"Rows whose {c} is no number or out of range") for c in MONEY_COLUMNS]
+    rows.append(graded("target_status", "invalid_status", "Rows whose status is neither complete nor canceled"))
+    rows.append(graded("duplicate_rows", "duplicate_row", "Rows equal to an earlier row"))
     rows.append((
         "leakage_guard", "PASS", 0,
-        f"Outcome columns are blocked from model features: {LEAKAGE_COLUMNS}",
+        f"Never used as features: {LEAKAGE_COLUMNS}",
     ))
     return rows
 
 
 def missing_column_report(missing: list[str]) -> list[tuple[str, str, int, str]]:
-    return [("required_columns", "FAIL", len(missing), f"Missing: {missing}")]
+    return [("required_columns", "FAIL", len(missing), f"Absent: {missing}")]
 
 
 @dataclass

@@ -13,6 +13,7 @@ from orderlight.operators.retraining import normalized_settings, request_status
 from orderlight.operators.sampling import time_spanning_sample
 from orderlight.operators.selection import current_status
 from orderlight.plans.training import SuiteResult, train_suite
+from orderlight.session import stored
 from orderlight.sources.workspace import Workspace
 
 
@@ -70,6 +71,8 @@ def run_retraining(
         version = request["dataset_version"]
         source = ws.snapshot(version)
         data = training_snapshot(source, s)
+        if s["training_scope"] == "quick_sample":
+            data = stored(data, "sample")
         result = train_suite(
             data, version, families, overrides, gates=gates,
             stamp=request["request_id"], training_scope=s["training_scope"])
@@ -93,11 +96,40 @@ def run_retraining(
         raise
 
 
+def run_if_automatic(
+    ws: Workspace, request: dict, at: datetime, done_at: datetime, settings: dict | None = None, **options,
+) -> dict:
+    """Run a waiting request, unless automatic retraining is switched off. Returns the request as it stands."""
+    waiting = request["status"] == "RETRAINING_REQUIRED"
+    if not waiting or not normalized_settings(settings)["automatic_retraining_enabled"]:
+        return request
+    return run_retraining(ws, request, at, done_at, settings, **options)[0]
+
+
+def retrain_on_signals(
+    ws: Workspace, evaluated: DataFrame, dataset_version: str, at: datetime, done_at: datetime,
+    settings: dict | None = None, **options,
+) -> list[dict]:
+    """From signals to runs: one request per triggered row of ``evaluated_policy`` (an open request
+    is used again), each then run if retraining is automatic. One row per model reaches the driver."""
+    triggered = evaluated.filter("triggered").select("model_version", "trigger_type").orderBy("model_version").collect()
+    requests = [create_request(ws, r["model_version"], dataset_version, r["trigger_type"], at) for r in triggered]
+    return [run_if_automatic(ws, r, at, done_at, settings, **options) for r in requests]
+
+
+def manual_request(ws: Workspace, dataset_version: str, at: datetime) -> dict:
+    """A new request for the model in production, whatever requests are open."""
+    live = current_status(ws.ledger("model_events")).filter("status = 'PRODUCTION'").first()
+    return create_request(
+        ws, live["model_id"] if live else "unknown", dataset_version, "MANUAL_RETRAIN", at,
+        source="modelops", force_new=True)
+
+
 def promote(ws: Workspace, model_id: str, at: datetime) -> DataFrame:
     """Put a registered model into production; the previous one and the candidate step back."""
     known = ws.ledger("model_events").filter(F.col("model_id") == model_id)
     if known.isEmpty():
-        raise LookupError(f"Model {model_id} is not registered.")
+        raise LookupError(f"No model {model_id} in the event log")
     ws.append("model_events", [(model_id, "PROMOTE", at, "approved")])
     return current_status(ws.ledger("model_events"))
 
@@ -110,9 +142,10 @@ def final_benchmark(snapshot: DataFrame, dataset_version: str, **options) -> tup
         (F.count_distinct("dataset_fingerprint") == 1).alias("same_dataset_fingerprint"),
         (F.count_distinct("split_id") == 1).alias("same_temporal_split"),
         (F.count_distinct("feature_schema_version") == 1).alias("same_feature_schema"),
+        (F.count_distinct("business_policy") == 1).alias("same_business_policy"),
     ).first().asDict()
     return result.records, {
-        **same, "same_business_policy": True,
+        **same,
         "candidate_selection_uses": "validation_only",
         "test_holdout_use": "final_unbiased_evaluation_only",
     }

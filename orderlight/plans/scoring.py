@@ -26,7 +26,8 @@ def by_expression(score: Callable[[dict[str, Column]], Column]) -> Callable[[Dat
 
 
 def by_model(model) -> Callable[[DataFrame], DataFrame]:
-    """Scorer from a fitted pipeline that yields a ``probability`` vector."""
+    """Scorer from a fitted pipeline that yields a ``probability`` vector and fills missing inputs
+    itself; for the models of this package use ``training.scorer``, which fills them."""
     from pyspark.ml.functions import vector_to_array
 
     def run(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ SNAPSHOT = """
 LEDGERS = {
     "data_batches": """
         batch_id STRING, filename STRING, file_hash STRING, uploaded_at TIMESTAMP, raw_rows BIGINT,
-        valid_rows BIGINT, quarantined_rows BIGINT, status STRING, dataset_version STRING, notes STRING
+        valid_rows BIGINT, quarantined_rows BIGINT, status STRING, dataset_version STRING, notes STRING, step BIGINT
     """,
     "dataset_versions": """
         dataset_version STRING, created_at TIMESTAMP, source_batch_id STRING, row_count BIGINT,

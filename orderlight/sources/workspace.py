@@ -28,7 +28,7 @@ def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = No
             for c in raw.columns
         ])
     else:
-        raise ValueError(f"Unsupported dataset artifact: {path}")
+        raise ValueError(f"Neither Parquet nor CSV: {path}")
     return df.select(*columns) if columns else df
 
 
@@ -61,8 +61,8 @@ class Workspace:
         ]).write.mode("append").parquet(self.path("ledger", name))
 
     def batches(self) -> DataFrame:
-        """Current state per batch."""
-        return latest_per_key(self.ledger("data_batches"), ["batch_id"], "uploaded_at", "status")
+        """Current state per batch. All states of an attempt carry its upload time, so the step tells which is the last."""
+        return latest_per_key(self.ledger("data_batches"), ["batch_id"], "uploaded_at", "step", "status")
 
     def versions(self) -> DataFrame:
         return version_states(self.ledger("dataset_versions"))
@@ -100,16 +100,21 @@ class Workspace:
     ) -> dict:
         """Immutable snapshot, quarantine CSV and report JSON, then one version row. Being the
         newest full version makes it the active one. ``unique_orders`` says that the snapshot
-        holds one row per order, which saves a distinct count."""
+        holds one row per order, which saves a distinct count.
+
+        The version row publishes the files. A version without a row was never readable, so what
+        an unfinished run left under its name is written over; a published one never is."""
+        if not self.ledger("dataset_versions").filter(F.col("dataset_version") == version).isEmpty():
+            raise ValueError(f"Version {version} is already published.")
         paths = {
             "processed_path": self.path("snapshots", f"dataset_version={version}"),
             "quarantine_path": self.path("quarantine", f"dataset_version={version}"),
             "report_path": self.path("reports", f"dataset_version={version}"),
         }
         types = {f.split()[0]: f.split()[1] for f in SNAPSHOT.split(",")}
-        snapshot.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()]).write.mode("errorifexists").parquet(paths["processed_path"])
-        _write_csv(quarantine, paths["quarantine_path"])
-        report.write.mode("errorifexists").json(paths["report_path"])
+        snapshot.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()]).write.mode("overwrite").parquet(paths["processed_path"])
+        _write_csv(quarantine, paths["quarantine_path"], mode="overwrite")
+        report.write.mode("overwrite").json(paths["report_path"])
         written = self.spark.read.schema(SNAPSHOT).parquet(paths["processed_path"])
         orders = F.count("order_id") if unique_orders else F.count_distinct("order_id")
         size = written.agg(F.count("*").alias("rows"), orders.alias("orders")).first()
@@ -130,10 +135,10 @@ class Workspace:
         return latest_per_key(self.ledger("predictions"), ["prediction_id"], "predicted_at")
 
 
-def _write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+def _write_csv(df: DataFrame, path: str, compression: str = "none", mode: str = "errorifexists") -> None:
     """Header CSV with the texts as they are, blanks included."""
     (
-        df.write.mode("errorifexists").option("header", True).option("compression", compression)
+        df.write.mode(mode).option("header", True).option("compression", compression)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
 

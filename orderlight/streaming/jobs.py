@@ -29,7 +29,7 @@ def start_ingest(
             return
         key = f"{name}-{number}"
         frozen = stored(batch, "micro")
-        ingest_items(ws, frozen, f"batch_{key}", key, key, at(number))
+        ingest_items(ws, frozen, f"batch_{key}", key, key, at(number), resume=True)
 
     return (
         items.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
