@@ -140,37 +140,49 @@ class Remembered(dict):
         return value
 
 
+def part_ids(tokenizer):
+    """Function from a part of a word to its ids."""
+    letters = byte_letters()
+
+    def make(part: str) -> bytes:
+        if not part.isascii():
+            part = "".join([letters[b] for b in part.encode()])
+        return array("H", [t.id for t in tokenizer.model.tokenize(part)]).tobytes()
+
+    return make
+
+
+def word_ids(tokenizer, parts: Remembered):
+    """Function from a word to its ids, by the remembered ids of its parts."""
+    pieces = regex.compile(PIECES)
+
+    def make(word: str) -> bytes:
+        # Below U+0250 lower-casing is plain but for one letter, and composed forms stay as they are.
+        if word.isprintable() and max(word) < "\u0250" and "<|" not in word and "\u0130" not in word:
+            word = word.lower()
+            if word.isalpha():
+                return parts[word]
+            if word[:-1].isalpha() and word[-1] in ".,!?;:":
+                return parts[word[:-1]] + parts[word[-1]]
+            return b"".join([parts[p] for p in pieces.findall(word)])
+        return array("H", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    return make
+
+
 class Encoder:
     """The vocabulary's ids of whole texts. White space always parts words there, so a text's ids are those of its
     words, and a task remembers the words it has seen. Words of Latin letters and ASCII are lower-cased and split as the
     vocabulary does, and their parts go to its model; any other word goes through the tokenizer whole, as do words
-    that may hold a special token."""
+    that may hold a special token. Nothing here refers back to the encoder, so a worker that runs many tasks frees
+    each task's vocabulary and words at its end, without waiting for the cycle collector."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
-        self.pieces = regex.compile(PIECES)
         self.odd = re.compile(r"[\x1c-\x1f]")  # white space to str.split() only
-        self.words, self.parts = Remembered(self._word, memory), Remembered(self._part, memory)
-
-    def _part(self, part: str) -> bytes:
-        if not part.isascii():
-            letters = self.letters
-            part = "".join([letters[b] for b in part.encode()])
-        return array("H", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        # Below U+0250 lower-casing is plain but for one letter, and composed forms stay as they are.
-        if word.isprintable() and max(word) < "\u0250" and "<|" not in word and "\u0130" not in word:
-            word = word.lower()
-            if word.isalpha():
-                return self.parts[word]
-            if word[:-1].isalpha() and word[-1] in ".,!?;:":
-                return self.parts[word[:-1]] + self.parts[word[-1]]
-            return b"".join([self.parts[p] for p in self.pieces.findall(word)])
-        return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self.words = Remembered(word_ids(self.tokenizer, Remembered(part_ids(self.tokenizer), memory)), memory)
 
     def ids(self, text: str) -> bytes:
         """Little-endian 16-bit ids; the vocabulary has fewer than 2^16."""
