@@ -25,6 +25,7 @@ from orderlight.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 AS_OF = datetime(2002, 1, 1)
+SUMMED = ["price", "discount_amount", "discount_ratio"]  # whose last bits depend on the order of addition
 RATE = 0.00361
 
 
@@ -56,20 +57,24 @@ def shown(df: DataFrame, digits: int | None = None, *only: str) -> DataFrame:
 @query
 def read_items(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "items-csv")
-    t.raw_items.select("increment_id", "Customer ID", "created_at", "sku", "qty_ordered", "payment_method", "status").write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return item_files.read_items(t.spark, path).drop("_ord").withColumnRenamed("Customer ID", "customer_id")
+    t.raw_items.write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return _numbers_back(item_files.read_items(t.spark, path).drop("_ord")).withColumnRenamed("Customer ID", "customer_id")
+
+
+def _numbers_back(items: DataFrame) -> DataFrame:
+    """Numbers kept as text, as numbers: engines print doubles differently."""
+    return items.withColumns({c: F.col(c).cast("double") for c in ("price", "grand_total", "discount_amount")})
 
 
 @query
 def read_snapshot_files(t: Tables) -> DataFrame:
-    base = t.labeled.select("order_id", "created_at", F.col("is_canceled"), F.col("probability").alias("price"))
+    base = stored(t.history, "history")
     parquet, csv = scratch_path(t.spark, "snapshot") + ".parquet", scratch_path(t.spark, "snapshot") + ".csv.gz"
     base.write.parquet(parquet)
     base.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).write.option("header", True).option("compression", "gzip").csv(csv)
-    columns = ["order_id", "created_at", "is_canceled", "price"]
-    both = read_snapshot(t.spark, parquet, columns).withColumn("kind", F.lit("parquet")).unionByName(
-        read_snapshot(t.spark, csv, columns).withColumn("kind", F.lit("csv")))
-    return shown(both)
+    both = read_snapshot(t.spark, parquet, base.columns).withColumn("kind", F.lit("parquet")).unionByName(
+        read_snapshot(t.spark, csv, base.columns).withColumn("kind", F.lit("csv")))
+    return shown(both, 9, *SUMMED)
 
 
 def _workspace(t: Tables) -> Workspace:
@@ -100,12 +105,47 @@ def write_version(t: Tables) -> DataFrame:
     return shown(ws.versions().select("dataset_version", "created_at", "source_batch_id", "row_count", "order_count", "active"))
 
 
+def _two_versions(t: Tables) -> Workspace:
+    """The earlier orders as one version, then all of them."""
+    ws = _workspace(t)
+    orders = stored(t.history, "history")
+    report = t.spark.createDataFrame([("required_columns", "PASS", 0, "Nothing is absent")], validation.REPORT_SCHEMA)
+    rejected = ingest.appended_quarantine([validation.quarantined_rows(t.checked)])
+    ws.write_version("v001", orders.filter(F.col("created_at") < "2000"), rejected.limit(0), report, "b1", datetime(2002, 1, 1))
+    ws.write_version("v002", orders, rejected, report, "b2", datetime(2002, 1, 2))
+    return ws
+
+
+@query
+def version_snapshot(t: Tables) -> DataFrame:
+    """Both versions read back with all their columns: the older one stays as it was written."""
+    ws = _two_versions(t)
+    both = ws.snapshot("v001").withColumn("version", F.lit("v001")).unionByName(ws.snapshot().withColumn("version", F.lit("active")))
+    return shown(both, 9, *SUMMED)
+
+
+@query
+def version_quarantine(t: Tables) -> DataFrame:
+    """The rejected rows of a version, read back from its file."""
+    ws = _two_versions(t)
+    path = ws.versions().filter(F.col("dataset_version") == "v002").first()["quarantine_path"]
+    rows = t.spark.read.option("header", True).csv(path)
+    return _numbers_back(rows).select("increment_id", "sku", "created_at", "price", "grand_total", "discount_amount", "qty_ordered", "status", validation.REASON)
+
+
+@query
+def version_report(t: Tables) -> DataFrame:
+    """The report of each version, read back from its file."""
+    paths = [(r["dataset_version"], r["report_path"]) for r in _two_versions(t).versions().collect()]
+    parts = [t.spark.read.schema(validation.REPORT_SCHEMA).json(p).withColumn("version", F.lit(v)) for v, p in sorted(paths)]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def bronze(t: Tables) -> DataFrame:
-    ws = _workspace(t)
-    ws.write_raw(t.raw_items, "b1")
-    kept = t.spark.read.parquet(ws.path("bronze"))
-    return kept.groupBy("batch_id").agg(F.count("*").alias("rows"), F.count("c0_increment_id").alias("with_order_id"))
+    """The untouched copy under its original names."""
+    kept = _workspace(t).write_raw(t.raw_items, "b1")
+    return _numbers_back(kept).withColumnRenamed("Customer ID", "customer_id")
 
 
 @query
@@ -185,7 +225,11 @@ def seed_version(t: Tables) -> DataFrame:
 
 @query
 def scored_export(t: Tables) -> DataFrame:
+    amount = F.col("o_totalprice")
+    money = t.orders_table.select(
+        F.col("o_orderkey").cast("string").alias("_id"), (amount / 8).alias("price"), amount.alias("grand_total"), (-amount / 16).alias("discount_amount"))
     scored = t.labeled.select("order_id", F.col("probability")).withColumns(economics.economics(F.col("probability")))
+    scored = scored.join(money, F.col("order_id") == F.col("_id")).drop("_id")
     return shown(currency.scored_export(scored, RATE))
 
 
@@ -406,8 +450,7 @@ def categorical_tv(t: Tables) -> DataFrame:
 @query
 def lookup(t: Tables) -> DataFrame:
     """The production model's record, found by id from its lifecycle."""
-    status = selection.current_status(t.model_events).filter(F.col("status") == "PRODUCTION").select("model_id")
-    return t.models.join(F.broadcast(status), "model_id", "left_semi").select("model_id", "val_roc_auc", "test_roc_auc")
+    return selection.production_record(t.models, t.model_events).select("model_id", "val_roc_auc", "test_roc_auc")
 
 
 # ---- aggregations ----
@@ -581,10 +624,7 @@ def queue_mix(t: Tables) -> DataFrame:
 
 @query
 def feature_domains(t: Tables) -> DataFrame:
-    def domain(c: str) -> DataFrame:
-        return t.kept.select(F.lit(c).alias("feature"), F.col(c).alias("value")).filter("value IS NOT NULL").distinct()
-
-    return domain("category_name_1").unionByName(domain("payment_method"))
+    return explain.feature_domains(t.kept, ["category_name_1", "payment_method"])
 
 
 # ---- cumulative and latest-wins ----
@@ -804,9 +844,9 @@ def request_status(t: Tables) -> DataFrame:
 
 @query
 def training_snapshot(t: Tables) -> DataFrame:
+    """The rows of the time-spanning sample."""
     data = retrain.training_snapshot(t.labeled, {"training_scope": "fast_prototype", "max_training_rows": 6000})
-    return data.agg(F.count("*").alias("training_rows")).select(
-        "training_rows", F.lit(t.labeled.count()).cast("bigint").alias("source_rows"))
+    return shown(data.select("order_id", "created_at", "is_canceled"))
 
 
 def _training_orders(t: Tables) -> DataFrame:

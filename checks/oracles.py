@@ -332,10 +332,20 @@ _REASONS = """concat_ws(',', CASE WHEN labels >= 100 AND roc < base_roc - 0.05::
 
 # ---- sources and sinks ----
 
-oracle("read_items", "SELECT increment_id, customer_id, created_at, sku, qty_ordered, payment_method, status FROM d_items")
-oracle("read_snapshot_files", """
-SELECT order_id, created_at, is_canceled, probability AS price, 'parquet' AS kind FROM d_labeled
-UNION ALL SELECT order_id, created_at, is_canceled, probability, 'csv' FROM d_labeled""")
+oracle("read_items", "SELECT * FROM d_items")
+_SNAPSHOT = f"""order_id, created_at, customer_id, {r('price', 9)} AS price, qty_ordered, grand_total, {r('discount_amount', 9)} AS discount_amount,
+  is_canceled, category_name_1, payment_method, status, {r('discount_ratio', 9)} AS discount_ratio, is_cod, has_discount, day_of_week, hour,
+  prev_orders, prev_cancellations, customer_cancel_rate"""
+oracle("read_snapshot_files", f"""
+SELECT {_SNAPSHOT}, kind FROM d_history, (VALUES ('parquet'), ('csv')) k(kind)""")
+oracle("version_snapshot", f"""
+SELECT {_SNAPSHOT}, version FROM d_history, (VALUES ('v001'), ('active')) k(version) WHERE version = 'active' OR created_at < DATE '2000-01-01'""")
+oracle("version_quarantine", """
+SELECT increment_id, sku, created_at, price, grand_total, discount_amount, qty_ordered, status,
+  row_reason || CASE WHEN copy_no > 1 THEN 'duplicate_row;' ELSE '' END AS quarantine_reason FROM d_flagged WHERE row_reason <> '' OR copy_no > 1""")
+oracle("version_report", """
+SELECT 'required_columns' AS check_name, 'PASS' AS status, CAST(0 AS BIGINT) AS affected_rows, 'Nothing is absent' AS details, version
+FROM (VALUES ('v001'), ('v002')) k(version)""")
 # Conflicting statuses are judged per upload; an order's items never span the two uploads.
 oracle("ingest_batch", """
 SELECT order_id, created_at, customer_id, grand_total, is_canceled, prev_orders, prev_cancellations, customer_cancel_rate FROM d_history""")
@@ -343,7 +353,7 @@ oracle("write_version", """
 SELECT v AS dataset_version, made AS created_at, b AS source_batch_id, (SELECT count(*) FROM d_orders) AS row_count,
   (SELECT count(DISTINCT order_id) FROM d_orders) AS order_count, v = 'v002' AS active
 FROM (VALUES ('v001', TIMESTAMP '2002-01-01', 'b1'), ('v002', TIMESTAMP '2002-01-02', 'b2')) x(v, made, b)""")
-oracle("bronze", "SELECT 'b1' AS batch_id, count(*) AS rows, count(increment_id) AS with_order_id FROM d_items")
+oracle("bronze", "SELECT * FROM d_items")
 oracle("batch_dedupe", """
 SELECT file_hash, filename, uploaded_at FROM (
   SELECT md5(CAST(o_custkey AS VARCHAR)) AS file_hash, CAST(o_orderkey AS VARCHAR) AS filename, o_orderdate AS uploaded_at,
@@ -361,8 +371,9 @@ SELECT 'seed_v1' AS dataset_version, count(*) AS row_count, count(DISTINCT order
 oracle("scored_export", f"""
 SELECT order_id, probability, expected_avoidable_cost * 0.00361::DOUBLE AS expected_money_saved_usd,
   expected_false_positive_cost * 0.00361::DOUBLE AS expected_unnecessary_check_cost_usd,
-  net_expected_savings * 0.00361::DOUBLE AS expected_net_savings_usd, recommendation, 0.00361::DOUBLE AS fx_pkr_to_usd
-FROM (SELECT order_id, probability, {econ("probability")} FROM d_labeled)""")
+  net_expected_savings * 0.00361::DOUBLE AS expected_net_savings_usd, recommendation, 0.00361::DOUBLE AS fx_pkr_to_usd,
+  o_totalprice / 8 * 0.00361::DOUBLE AS price_usd, o_totalprice * 0.00361::DOUBLE AS grand_total_usd, -o_totalprice / 16 * 0.00361::DOUBLE AS discount_amount_usd
+FROM (SELECT order_id, probability, {econ("probability")} FROM d_labeled) JOIN orders ON order_id = CAST(o_orderkey AS VARCHAR)""")
 
 # ---- projections ----
 
@@ -756,7 +767,9 @@ SELECT DISTINCT model_version, dataset_version, trigger_type FROM (
   SELECT 1 FROM d_requests q WHERE q.status IN ('RETRAINING_REQUIRED', 'RUNNING', 'CANDIDATE_READY')
     AND q.model_version = l.model_version AND q.dataset_version = l.dataset_version AND q.trigger_type = l.trigger_type)""")
 oracle("request_status", "SELECT * FROM d_requests")
-oracle("training_snapshot", "SELECT least(6000, count(*)) AS training_rows, count(*) AS source_rows FROM d_labeled")
+oracle("training_snapshot", """
+SELECT order_id, created_at, is_canceled FROM d_split
+WHERE n <= 6000 OR pos IN (SELECT i * (m - 1) // 5999 FROM range(6000) x(i), (SELECT count(*) AS m FROM d_labeled))""")
 
 # ---- streams and the flagship ----
 

@@ -31,6 +31,14 @@ def baseline_table(reference: DataFrame) -> DataFrame:
     return reference.sparkSession.createDataFrame(rows, "feature STRING, number DOUBLE, text STRING")
 
 
+def feature_domains(orders: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(feature, value): the texts that occur in each column, for choosing from. One pass; copies of a
+    pair combine before the shuffle."""
+    columns = columns or CATEGORICAL_FEATURES
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
+    return orders.select(F.inline(pairs)).filter("value IS NOT NULL").distinct()
+
+
 def top_drivers(impacts: Column, k: int = 3) -> Column:
     """Largest positive impacts of an array<struct<feature, impact>>."""
     positive = F.filter(impacts, lambda x: x["impact"] > 0)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlight.session import stored
+from orderlight.session import small_side, stored
 
 # monotonically_increasing_id keeps the partition number above this many row bits.
 _ROW_BITS = 33
@@ -51,8 +51,8 @@ def running_totals(
 ) -> DataFrame:
     """Adds ``before_<s>``: the sum of ``s`` over the rows of the same ``by`` group that come
     earlier in ``order``; with ``totals`` also ``total_<s>`` of the whole group. Groups may be
-    of any size, but their number must be moderate: the carried sums hold at most
-    (parts + groups) rows and are broadcast."""
+    of any size. The carried sums hold at most (parts + groups) rows; they are counted, and broadcast
+    only within the bound."""
     ordered = [F.col(k).desc_nulls_last() if descending else F.col(k).asc_nulls_last() for k in order]
     placed = _placed(df, [F.col(k).asc_nulls_first() for k in by] + ordered, "totals")
     inside = Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +70,7 @@ def running_totals(
     match = F.col("_part") == F.col("_c_part")
     for k in by:
         match = match & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-    joined = local.join(F.broadcast(carried), match)
+    joined = local.join(small_side(stored(carried, "carried")), match)
     zero = F.lit(0)
     return joined.select(
         *df.columns,

@@ -9,7 +9,7 @@ from orderlight.contract import CUSTOMER_ID_CANDIDATES, ORDER_ID_CANDIDATES
 from orderlight.functions.cleaning import first_existing, normalize_ids, quoted
 from orderlight.functions.features import row_features
 from orderlight.operators.ordering import running_totals
-from orderlight.session import stored
+from orderlight.session import small_side, stored
 
 ORDER_COLUMNS = [
     "order_id", "created_at", "customer_id", "price", "qty_ordered", "grand_total", "discount_amount",
@@ -19,7 +19,7 @@ ORDER_COLUMNS = [
 HISTORY_COLUMNS = ["prev_orders", "prev_cancellations", "customer_cancel_rate"]
 
 # Orders of one customer that a single task sorts. Customers above it are handled by
-# range-partitioned running totals; there are at most (orders / HOT_ROWS) of them.
+# range-partitioned running totals.
 HOT_ROWS = 2_000_000
 
 
@@ -61,10 +61,10 @@ def aggregate_to_orders(items: DataFrame) -> DataFrame:
     return row_features(grouped).select(*ORDER_COLUMNS)
 
 
-def hot_customers(orders: DataFrame, hot_rows: int = HOT_ROWS) -> list[str | None]:
-    """Customers with more than ``hot_rows`` orders (the missing customer included)."""
+def hot_customers(orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Customers with more than ``hot_rows`` orders (the missing customer included), as a stored table."""
     big = orders.groupBy("customer_id").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
-    return [r["customer_id"] for r in big.select("customer_id").collect()]
+    return stored(big.select(F.col("customer_id").alias("_hot")), "hot")
 
 
 def _rate() -> Column:
@@ -84,20 +84,18 @@ def customer_history(orders: DataFrame, hot_rows: int = HOT_ROWS, prepared: bool
     if not prepared:
         base = stored(base, "orders")
     hot = hot_customers(base, hot_rows)
-    named = [c for c in hot if c is not None]
-    is_hot = F.coalesce(F.col("customer_id").isin(named), F.lit(False)) if named else F.lit(False)
-    if None in hot:
-        is_hot = is_hot | F.col("customer_id").isNull()
+    split = not hot.isEmpty()
+    side, match = small_side(hot), F.col("customer_id").eqNullSafe(F.col("_hot"))
 
     order = Window.partitionBy("customer_id").orderBy(F.col("created_at").asc_nulls_last(), "order_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    out = (base.filter(~is_hot) if hot else base).withColumns({
+    out = (base.join(side, match, "left_anti") if split else base).withColumns({
         "prev_orders": (F.row_number().over(order) - 1).cast("bigint"),
         "prev_cancellations": F.coalesce(F.sum("is_canceled").over(before), F.lit(0)).cast("bigint"),
     })
-    if hot:
+    if split:
         heavy = running_totals(
-            base.filter(is_hot).withColumn("_one", F.lit(1).cast("bigint")),
+            base.join(side, match, "left_semi").withColumn("_one", F.lit(1).cast("bigint")),
             ["customer_id"], ["created_at", "order_id"], ["_one", "is_canceled"],
         )
         out = out.unionByName(

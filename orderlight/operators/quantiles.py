@@ -96,9 +96,9 @@ def _proven_counts(df: DataFrame, edges: dict[str, list[float]]) -> dict[str, li
 def order_statistics(
     df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int], bracket_rows: int = BRACKET_ROWS
 ) -> dict[tuple[str, int], float]:
-    """Values at 0-based positions of the sorted non-missing values of each column. Everything
-    collected here is bounded: edges and counts per wanted position, and one array of at most
-    ``bracket_rows`` values per final bracket."""
+    """Values at 0-based positions of the sorted non-missing values of each column. A final bracket
+    gathers at most ``bracket_rows`` values in a task; the driver gets edges and counts, and then only
+    the wanted values."""
     brackets = [
         _Bracket(c, k, None, None, 0, counts[c]) for c, ks in wanted.items() for k in sorted(set(ks))
     ]
@@ -112,12 +112,13 @@ def order_statistics(
     if open_ := [b for b in brackets if b.value is None]:
         # Positions of one column that share a bracket share its array.
         spans = list(dict.fromkeys(b.span for b in open_))
-        arrays = {
-            spans[r["span"]]: r["vs"]
-            for r in values_between(df, spans).groupBy("span").agg(F.sort_array(F.collect_list("v")).alias("vs")).collect()
-        }
+        places = {s: sorted({b.position - b.below for b in open_ if b.span == s}) for s in spans}
+        wants = F.get(F.array(*[F.array(*[F.lit(k) for k in places[s]]) for s in spans]), F.col("span"))
+        sorted_values = values_between(df, spans).groupBy("span").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+        picked = sorted_values.select("span", F.transform(wants, lambda k: F.get("vs", k)).alias("picked")).collect()
+        found = {spans[r["span"]]: dict(zip(places[spans[r["span"]]], r["picked"])) for r in picked}
         for b in open_:
-            b.value = arrays[b.span][b.position - b.below]
+            b.value = found[b.span][b.position - b.below]
     return {(b.column, b.position): b.value for b in brackets}
 
 

@@ -17,6 +17,7 @@ from orderlight.session import BROADCAST_ROWS
 
 BANDS = ["LOW", "MEDIUM", "HIGH"]
 BAND_SHARES = (0.35, 0.30, 0.35)
+TOP_ROWS = 100_000  # rows that one task may merge into a sample
 
 
 def hash_order(key: Column, seed: int | str = SEED) -> Column:
@@ -28,7 +29,8 @@ def first_by_hash(df: DataFrame, key: str, n: int, seed: int | str = SEED, rows:
 
     A plain top-n would send n rows per task to one merging task. The hash is uniform, so rows
     above a generous cut can never be among the first n; if the cut ever keeps fewer than n
-    rows, it is dropped. The result is always the exact first n.
+    rows, it is dropped. Beyond ``TOP_ROWS`` no single task merges the rows: they are ranked over
+    sorted ranges. The result is always the exact first n.
     """
     rows = df.count() if rows is None else rows
     if n <= 0 or rows == 0:
@@ -42,6 +44,9 @@ def first_by_hash(df: DataFrame, key: str, n: int, seed: int | str = SEED, rows:
         near = ranked.filter(F.col("_h") < cut)
         if near.count() >= n:
             ranked = near
+    if n > TOP_ROWS:
+        places = global_rank(ranked.withColumn("_k", quoted(key)), ["_h", "_k"], "_place")
+        return places.filter(F.col("_place") < n).drop("_h", "_k", "_place")
     return ranked.orderBy("_h", quoted(key)).limit(n).drop("_h")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlight.contract import DEFAULT_GATES
 from orderlight.functions.labels import model_health
+from orderlight.session import small_side
 
 GATE_COLUMNS = ["roc_gate", "pr_gate", "calibration_gate", "recall_gate", "business_gate"]
 
@@ -92,6 +93,12 @@ def current_status(events: DataFrame) -> DataFrame:
 COMPARED = ["roc_auc", "pr_auc", "brier", "recall_at_90_precision"]
 
 
+def production_record(records: DataFrame, events: DataFrame) -> DataFrame:
+    """The record of the model that is in production now, found by its id; empty if there is none."""
+    status = current_status(events).filter(F.col("status") == "PRODUCTION").select("model_id")
+    return records.join(small_side(status), "model_id", "left_semi")
+
+
 def model_comparison(models: DataFrame) -> DataFrame:
     """Test metrics of the production model and the candidate, side by side."""
     role = F.when(F.col("status") == "PRODUCTION", "Current Production").when(F.col("status") == "CANDIDATE", "Candidate")

@@ -196,6 +196,9 @@ def inconsistent_orders(valid: DataFrame, order_column: str) -> DataFrame:
 
 
 def existing_orders(valid: DataFrame, order_column: str, snapshot: DataFrame) -> DataFrame:
-    """Order ids of the batch that an earlier snapshot already holds."""
-    ids = valid.select(quoted(order_column).alias("order_id")).filter("order_id IS NOT NULL").distinct()
-    return ids.join(snapshot.select(F.col("order_id").cast("string")), "order_id", "left_semi")
+    """Order ids of the batch that an earlier snapshot already holds. The history is the side that
+    streams: while the batch's ids are within the broadcast bound, it is neither shuffled nor sorted,
+    and only its matches are made distinct."""
+    ids = valid.select(quoted(order_column).alias("_batch_id")).filter("_batch_id IS NOT NULL").distinct()
+    known = snapshot.select(F.col("order_id").cast("string").alias("order_id"))
+    return known.join(small_side(stored(ids, "batch_ids")), F.col("order_id") == F.col("_batch_id"), "left_semi").distinct()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from orderlight.functions.economics import economics
 from orderlight.functions.features import inference_features
 from orderlight.functions.labels import risk_level
+from orderlight.operators import explain, sampling, validation
 from orderlight.operators.monitoring import apply_outcomes
 from orderlight.sources.items import read_items
 from orderlight.streaming.jobs import current_trend, start_risk_trend
@@ -141,3 +142,28 @@ def test_saved_models_score_alike(spark, tmp_path):
     training.save_model(spark, model, {"price": 1.0}, path)
     with pytest.raises(ValueError):
         training.load_model(spark, path)
+
+
+def test_large_samples_are_the_first_by_hash(spark, monkeypatch):
+    df = spark.range(500).selectExpr("cast(id as string) as k")
+    small = {r.k for r in sampling.first_by_hash(df, "k", 120).collect()}
+    monkeypatch.setattr(sampling, "TOP_ROWS", 10)
+    large = sampling.first_by_hash(df, "k", 120)
+    assert {r.k for r in large.collect()} == small
+    assert large.columns == ["k"]
+    assert "TakeOrderedAndProject" not in large._jdf.queryExecution().executedPlan().toString()
+
+
+def test_known_orders_leave_the_history_in_place(spark):
+    batch = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "increment_id string")
+    history = spark.createDataFrame([("b",), ("c",), (None,)], "order_id string")
+    out = validation.existing_orders(batch, "increment_id", history)
+    assert [r.order_id for r in out.collect()] == ["b"]
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+
+
+def test_domains_are_the_texts_that_occur(spark):
+    rows = spark.createDataFrame([("x", "p"), ("x", None), (None, "q")], "category_name_1 string, payment_method string")
+    found = sorted((r.feature, r.value) for r in explain.feature_domains(rows).collect())
+    assert found == [("category_name_1", "x"), ("payment_method", "p"), ("payment_method", "q")]
+    assert explain.feature_domains(rows.limit(0)).count() == 0
