@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlight.llm.base import smallest_hashes, table
+from orderlight.session import stored
 
 # Kind, pattern, and what a match needs. Runs of a fixed class are asked for at their least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -52,10 +53,12 @@ def _secret(span: Column) -> Column:
 def train(docs: DataFrame, documents: int = SAMPLE, prior: float = 0.5) -> str:
     """Log-likelihood ratios of character pairs, random over ordinary, as the 128 x 128 numbers of a comma-joined
     string. The labels are the fixed patterns: their values are samples of random strings, identifiers outside
-    them ordinary ones, from the ``documents`` with the smallest hashes. Each model is a first-order chain over
-    the characters seen, smoothed by ``prior``; without any random sample the random model is uniform."""
-    text = F.coalesce("text", F.lit(""))
-    sample = smallest_hashes(docs.select(text.alias("text")), F.xxhash64("text"), documents)
+    them ordinary ones, from the ``documents`` with the smallest hashes, equal texts once. Each model is a
+    first-order chain over the characters seen, smoothed by ``prior``; without any random sample the random model
+    is uniform. Only hashes meet in one task; the chosen texts, of any length, stay spread."""
+    hashed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    cut = smallest_hashes(hashed.select("h"), F.col("h"), documents).agg(F.max("h")).first()[0]
+    sample = stored(hashed.where(F.col("h") <= F.lit(cut).cast("long")).groupBy("h").agg(F.min("text").alias("text")), "sample")
     found = sample.select("text", base_spans(F.col("text")).alias("spans"))
     random = found.select(F.explode("spans").alias("s")).select(F.lit(1).alias("kind"), _secret(F.col("s")).alias("t"))
     words = F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))
