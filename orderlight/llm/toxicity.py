@@ -28,6 +28,7 @@ FOLD = {ord(c): letter for letter, likes in LOOKALIKES.items() for c in likes}
 SAMPLE = 20_000  # labelled rows that the model is fitted on, at most
 LEXICON = 500  # words and stems it keeps, at most
 STEMS = (4, 5)  # letters at a word's start that count as a stem
+CHANCE = 0.05  # how likely any term of the lexicon may be there by chance
 CUT = 0.3  # score from which a document is toxic
 
 
@@ -147,9 +148,12 @@ def _counted(sample: DataFrame, terms) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, words: int = LEXICON, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Learns lexicon, exception phrases and calibration from a bounded sample of labelled rows.
 
-    A word or stem enters if it stands in at least four toxic texts and in one of a hundred of them, and is at least
-    e^3 times as frequent there; its weight is the log of that ratio. A pair of words becomes an exception if it
-    holds a lexicon word, stands in three clean texts and in no toxic one. Without toxic labels nothing scores.
+    A word or stem enters if it stands in at least four toxic texts and in one of a hundred of them, is at least
+    e^3 times as frequent there, and if chance is a bad explanation: Chernoff's bound for its share of toxic texts is
+    below ``CHANCE`` by the number of terms that are looked at. Its weight is the log of the ratio. A stem that stands
+    in more clean texts than one of its words, but in no more toxic ones, is left out. A pair of words becomes an
+    exception if it holds a lexicon word, stands in three clean texts and in no toxic one. Without toxic labels
+    nothing scores.
     """
     sample = labelled(docs, labels, rows)
     sizes = dict(sample.groupBy("toxic").count().collect())
@@ -157,9 +161,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, words: int = LEX
     if not n1 or not n0:
         return Model()
     ratio = F.log((F.col("bad") + 0.5) / (n1 + 1) / ((F.col("good") + 0.5) / (n0 + 1)))
-    counts = _counted(sample, lambda t: terms_of(folded(t)))
-    chosen = counts.where((F.col("bad") >= max(4, n1 // 100)) & (ratio >= 3)).select("term", ratio.alias("w"), "bad")
-    weights = {r.term: r.w for r in chosen.orderBy(F.desc(F.col("w") * F.col("bad")), "term").limit(words).collect()}
+    counts = stored(_counted(sample, lambda t: terms_of(folded(t))).where("bad + good >= 4"), "terms")
+    part = lambda n, share: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (F.col("bad") + F.col("good")) / share)).otherwise(0.0)
+    evidence = part("bad", n1 / (n1 + n0)) + part("good", n0 / (n1 + n0))
+    sure = evidence >= math.log(max(1, counts.count()) / CHANCE)
+    chosen = counts.where((F.col("bad") >= max(4, n1 // 100)) & (ratio >= 3) & sure).select("term", ratio.alias("w"), "bad", "good")
+    found = {r.term: r for r in chosen.orderBy(F.desc(F.col("w") * F.col("bad")), "term").limit(words).collect()}
+    weights = {t: r.w for t, r in found.items() if not t.endswith("*") or not any(
+        o.startswith(t[:-1]) and not o.endswith("*") and s.bad == r.bad and s.good < r.good for o, s in found.items())}
 
     def pairs(text):
         every = [bare(w) for w in folded(text)]

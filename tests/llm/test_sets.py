@@ -238,6 +238,21 @@ def test_toxicity_held_out(spark):
     assert not any(r.score >= toxicity.CUT for r in out if not r.toxic)
 
 
+def test_lexicon_leaves_chance_and_loose_stems_out(spark):
+    from pyspark.sql import functions as F
+
+    # "vile" is a sign in 30 texts; its stem also stands in clean words; "lark" is in four toxic texts of many terms.
+    filler = [f"term{i % 60} word{i % 45} note{i % 30}" for i in range(600)]
+    texts = [f"{f} vile" + (" lark" if i < 4 else "") for i, f in enumerate(filler[:30])]
+    texts += [f + (" vileza" if i < 2 else " lark" if i == 2 else "") for i, f in enumerate(filler[30:])]
+    rows = [(i, t, int(i < 30)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole = docs.where(toxicity.in_training(F.col("doc_id")))
+    model = toxicity.fit(whole.drop("toxic"), whole.select("doc_id", "toxic"))
+    words = {w for w in model.weights if not w.endswith("*")}
+    assert words == {"viie"} and "iark" not in model.weights and "viie*" not in model.weights
+
+
 def test_toxicity_folds_and_excepts(spark, edge, none):
     from pyspark.sql import functions as F
 
