@@ -1,11 +1,11 @@
-"""A corpus from documents to packed bins: toxicity, near-duplicates, secrets, mixing, packing."""
+"""A corpus from documents to packed bins: toxicity, near-duplicates, secrets, what is left of near-duplicates, mixing, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlight.llm import mixing, packing, secrets, simhash, toxicity
+from orderlight.llm import jaccard, mixing, packing, secrets, simhash, toxicity
 from orderlight.llm.base import table
 from orderlight.session import scratch_path, stored
 
@@ -30,6 +30,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.withColumn("text", text).withColumn("n_chars", count).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more: four bits of a
+    fingerprint meet few of the near copies below 0.95."""
+    return jaccard.first_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     own = docs.columns
@@ -50,6 +56,7 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("simhash", drop_copies),
     ("secrets", redact_secrets),
+    ("jaccard", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack),
 ]

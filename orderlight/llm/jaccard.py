@@ -1,0 +1,166 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles, with candidates found by their rarest shingles."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from orderlight.llm.base import as_bytes, shingle_hashes
+from orderlight.llm.components import connected
+from orderlight.session import small_side, stored
+
+SHARE = (4, 5)  # linked from this similarity on
+SAMPLE = 20_000  # texts that tell common shingles from rare ones
+COMMON = 200_000  # shingles known as common, at most
+
+
+def shingle_set(text: bytes, width: int, seed: int) -> np.ndarray:
+    """The different shingles of lower-cased words, as sorted hashes."""
+    return np.unique(shingle_hashes(text.lower().split(), width, seed))
+
+
+def set_column(text: Column, width: int, seed: int) -> Column:
+    """The set as bytes, eight a shingle."""
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(bytes(t), width, seed).tobytes() for t in texts])
+
+    return of(as_bytes(text))
+
+
+def name_column(text: Column, width: int, seed: int) -> Column:
+    """A 64-bit name of the text's set."""
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        names = [xxhash.xxh64_intdigest(shingle_set(bytes(t), width, seed).tobytes(), seed) for t in texts]
+        return pd.Series(np.array(names, np.uint64).view(np.int64))
+
+    return of(as_bytes(text))
+
+
+def common_shingles(docs: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``SAMPLE`` texts share, sorted, and how many do. They only order the shingles
+    of a text, so that few candidates meet; any order finds the same links."""
+    n = docs.count()
+    if n > SAMPLE:
+        docs = docs.where(F.xxhash64("doc_id", "text") < int(-(2**63) + SAMPLE / n * 2**64))
+
+    def each(batches):
+        for batch in batches:
+            sets = [shingle_set(t, width, seed) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["key"])
+
+    keys = docs.select(as_bytes(F.col("text")).alias("t")).mapInArrow(each, "key long")
+    many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    key, count = many.column("key").to_numpy().view(np.uint64), many.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], count[order]
+
+
+def rarest(found: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which any set as similar as ``SHARE`` has one at least: as many of the rarest as
+    it may lack, and one more."""
+    if not len(found):
+        return found
+    often = np.zeros(len(found), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        often = np.where(known[at] == found, count[at], 0)
+    num, den = SHARE
+    return found[np.lexsort((found, often))][: len(found) - -(-len(found) * num // den) + 1]
+
+
+def _entries(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """Rows (key, node, size, place): the rarest shingles of each different set, in order."""
+    known, count = common_shingles(docs, width, seed)
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+
+    def each(batches):
+        for batch in batches:
+            sets = [shingle_set(t, width, seed) for t in batch.column(0).to_pylist()]
+            keys = [rarest(s, known, count) for s in sets]
+            names = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
+            times = [len(k) for k in keys]
+            key = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
+            place = np.concatenate([np.empty(0, np.int64), *map(np.arange, times)]).astype(np.int32)
+            size = np.repeat(np.array([len(s) for s in sets], np.int32), times)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(names, times)), pa.array(size), pa.array(place)], schema=schema)
+
+    return docs.select(as_bytes(F.col("text")).alias("t")).mapInArrow(each, "key long, node long, size int, place int")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose sets are as similar as ``SHARE``, by their whole sets."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "ends")
+    named = docs.select("text", name_column(F.col("text"), width, seed).alias("_node")).join(small_side(ends), "_node")
+    texts = named.groupBy("_node").agg(F.first("text").alias("text"))
+    sets = stored(texts.select("_node", set_column(F.col("text"), width, seed).alias("set")), "sets")
+    num, den = SHARE
+
+    @F.pandas_udf("boolean")
+    def close(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = []
+        for x, y in zip(left, right):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(both * den >= num * (len(x) + len(y) - both))
+        return pd.Series(found, dtype=bool)
+
+    left, right = (sets.select(F.col("_node").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where(close("set_a", "set_b")).select("a", "b")
+
+
+def linked(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
+    """Links (a, b) that join the names of all sets that are as similar as ``SHARE``, directly or through others.
+
+    Two sets that are similar enough share one of their rarest shingles (``rarest``). First every set is held against
+    one set a shingle, which joins large groups at a row a shingle and set. Then all sets that share a shingle but
+    aren't joined yet are held against each other, so none is left out; sizes and the place of the first common
+    shingle bound the similarity from above, and what passes is compared whole.
+    """
+    num, den = SHARE
+    entries = _entries(docs, width, seed).groupBy("key", "node").agg(F.min("size").alias("size"), F.min("place").alias("place"))
+    entries = stored(entries, "entries")
+    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("first")).where("n > 1").select("key", "first")
+    shared = stored(entries.join(shared, "key"), "shared")
+    fits = lambda x, y: (x * den >= y * num) & (y * den >= x * num)
+    stars = shared.where((F.col("node") != F.col("first.node")) & fits(F.col("size"), F.col("first.size")))
+    stars = stored(stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = stored(_similar(stars, docs, width, seed), "links")
+    groups = connected(links).select("node", "component")
+    placed = shared.select("key", "node", "size", "place").join(groups, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+    placed = stored(placed, "placed")
+    apart = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key")
+    rest = stored(placed.join(apart, "key"), "rest")
+    left, right = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "place", "own")]) for s in ("a", "b"))
+    met = left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("own_a") != F.col("own_b")) & fits(F.col("size_a"), F.col("size_b")))
+    # The first common shingle: no more than it and what follows can be common.
+    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(*[F.min(c).alias(c) for c in ("size_a", "size_b", "place_a", "place_b")])
+    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    met = met.where(most * (num + den) >= (F.col("size_a") + F.col("size_b")) * num).select("a", "b")
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    again = _similar(stored(met.join(done, ["a", "b"], "left_anti"), "met"), docs, width, seed)
+    return links.unionByName(again)
+
+
+def first_of_each(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
+    """One row of ``docs``, all its columns, of each class of texts whose shingle sets have a Jaccard similarity of
+    0.8 or more, directly or through others: the one with the smallest doc_id (null last), then the smallest hash
+    of the whole row. Rows equal in every column count once. Null text counts as empty; texts without words are one
+    class. Sets go by 64-bit names."""
+    own = docs.columns
+    named = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    doc_id, text = (F.col(f"c{own.index(n)}") for n in ("doc_id", "text"))
+    rank = F.struct(doc_id.isNull().alias("n"), doc_id.alias("i"), F.xxhash64(*[F.col(f"c{i}") for i in range(len(own))]).alias("h"))
+    rows = named.withColumns({"_rank": rank, "_node": name_column(text, width, seed)})
+    links = linked(docs.select("doc_id", "text"), width, seed)
+    groups = connected(links).select(F.col("node").alias("_node"), F.col("component").alias("_group"))
+    distinct = rows.groupBy("_node").agg(F.min("_rank").alias("r"))
+    placed = distinct.join(groups, "_node", "left").withColumn("_group", F.coalesce("_group", "_node"))
+    best = placed.groupBy("_group").agg(F.min(F.struct("r", "_node")).alias("b")).select(F.col("b._node").alias("_node"), F.col("b.r").alias("_best"))
+    kept = rows.join(best, "_node").where(F.col("_rank") == F.col("_best")).drop("_node", "_rank", "_best").dropDuplicates()
+    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(own)])
