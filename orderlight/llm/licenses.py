@@ -33,7 +33,6 @@ NOTICES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 )
 
-RARE = 8  # of a file's licence words, the rarest that are looked up
 ENOUGH = 0.75  # share of a notice's weight that must stand in place
 
 # Lower-cases A-Z and turns every other ASCII character but 0-9 and a-z into a space.
@@ -45,36 +44,35 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings (notice, position) of every word of the notices, with the words' IDF in the corpus."""
+    """Postings (notice, position) of the rarest words of each notice, by the words' IDF in the corpus.
 
-    def __init__(self, frequency: dict[bytes, int], documents: int, rare: int = RARE, enough: float = ENOUGH):
+    A notice in place lacks at most 1 - ``enough`` of its weight, so one of the words that together weigh more stands
+    in place; a base phrase is looked up by its rarest word. So no notice is passed over, whatever else a file holds."""
+
+    def __init__(self, frequency: dict[bytes, int], documents: int, enough: float = ENOUGH):
         split = lambda t: t.encode().split()
         self.notices = [(label, split(p), (split(p),), True) for p, label in BASE.items()]
         self.notices += [(label, split(t), tuple(split(p) for p in keys), False) for label, t, keys in NOTICES]
+        vocabulary = {w for _, words, _, _ in self.notices for w in words}
+        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1 for w in vocabulary}
         self.postings = defaultdict(list)
-        for k, (_, words, _, _) in enumerate(self.notices):
-            for at, w in enumerate(words):
-                self.postings[w].append((k, at))
-        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1 for w in self.postings}
-        # Each base phrase is always looked up by its rarest word, whatever else a file holds.
-        self.always = {max(words, key=lambda w: (self.idf[w], w)) for _, words, _, base in self.notices if base}
-        self.rare, self.enough = rare, enough
+        for k, (_, words, _, base) in enumerate(self.notices):
+            may_lack, weight = (1 - enough + 1e-9) * sum(self.idf[w] for w in words), 0.0
+            for at in sorted(range(len(words)), key=lambda at: (-self.idf[words[at]], words[at], at)):
+                self.postings[words[at]].append((k, at))
+                weight += self.idf[words[at]]
+                if base or weight > may_lack:
+                    break
+        self.enough = enough
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int, str]], set[str], float]:
         """Base places (start, words, label), labels of the notices found, and the best share of a notice in place."""
-        present = self.postings.keys() & set(words)
-        look = set(sorted(present, key=lambda w: (-self.idf[w], w))[: self.rare]) | (present & self.always)
-        if not look:
+        if self.postings.keys().isdisjoint(words):
             return [], set(), 0.0
-        starts = Counter()
-        for at, w in enumerate(words):
-            if w in look:
-                starts.update((k, at - place) for k, place in self.postings[w])
+        starts = {(k, at - place) for at, w in enumerate(words) if w in self.postings for k, place in self.postings[w]}
         places, labels, best = [], set(), 0.0
-        for (k, start), votes in starts.items():
+        for k, start in starts:
             label, notice, keys, base = self.notices[k]
-            if not base and votes < min(2, len(notice)):
-                continue
             if base:
                 if start >= 0 and words[start : start + len(notice)] == notice:
                     places.append((start, len(notice), label))
@@ -109,7 +107,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[dict[bytes, int],
     return counts, counts.pop(b"", 0)
 
 
-def scan(docs: DataFrame, rare: int = RARE, enough: float = ENOUGH) -> DataFrame:
+def scan(docs: DataFrame, enough: float = ENOUGH) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, the places of base phrases, labels and score.
 
     score: the largest share, by IDF, of a notice's words that stand at its positions relative to each other, among
@@ -124,7 +122,7 @@ def scan(docs: DataFrame, rare: int = RARE, enough: float = ENOUGH) -> DataFrame
     ddl = "doc_id long, n_words long, starts array<long>, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
     def each(batches):
-        index = Index(counts, documents, rare, enough)
+        index = Index(counts, documents, enough)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

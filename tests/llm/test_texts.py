@@ -97,6 +97,36 @@ def test_licenses_find_notices_with_their_key_phrases(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def labels_at_every_start(index, words):
+    found = set()
+    for label, notice, keys, base in index.notices:
+        weight = sum(index.idf[w] for w in notice)
+        for start in range(-len(notice), len(words)):
+            here = sum(index.idf[w] for i, w in enumerate(notice) if 0 <= start + i < len(words) and words[start + i] == w)
+            window = b" %s " % b" ".join(words[max(0, start) : start + len(notice) + 2])
+            if not base and here / weight >= licenses.ENOUGH and all(b" %s " % b" ".join(key) in window for key in keys):
+                found.add(label)
+    return found
+
+
+@pytest.mark.parametrize("documents", [0, 1000])
+def test_licenses_find_all_notices_of_a_text(documents):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    vocabulary = sorted({w for _, t, _ in licenses.NOTICES for w in t.encode().split()})
+    index = licenses.Index({w: rng.randint(0, documents) for w in vocabulary}, documents)
+    every = [(label, t.encode().split()) for label, t, _ in licenses.NOTICES]
+    groups = [*itertools.combinations(every, 2), *rng.sample([*itertools.combinations(every, 3)], 60), *(rng.sample(every, n) for n in range(4, len(every) + 1))]
+    for group in groups:
+        words = [w for _, notice in group for w in notice]
+        labels = index.find(words)[1]
+        assert {label for label, _ in group} <= labels and labels == labels_at_every_start(index, words)
+        edited = [w if rng.random() < 0.9 else b"other" for w in words]
+        assert index.find(edited)[1] == labels_at_every_start(index, edited)
+
+
 # --- secrets
 
 
