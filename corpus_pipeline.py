@@ -1,11 +1,11 @@
-"""A corpus from documents to packed bins: toxicity, near-duplicates, secrets, what is left of near-duplicates, mixing, packing."""
+"""A corpus from documents to packed bins: toxicity, near-duplicates, secrets, mixing, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlight.llm import jaccard, mixing, packing, secrets, simhash, toxicity
+from orderlight.llm import mixing, packing, secrets, simhash, toxicity
 from orderlight.llm.base import table
 from orderlight.session import scratch_path, stored
 
@@ -17,23 +17,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 64-bit fingerprints of five-word shingles, linked at four bits."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near-duplicates: 64-bit fingerprints of four-word shingles, linked at four bits."""
+    return simhash.first_of_each(docs, width=4)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts; n_chars follows the text. A null text stays null."""
-    found = secrets.scan(docs, out="_spans")
+    own = docs.columns
+    named = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    at = {n: f"c{own.index(n)}" for n in ("text", "n_chars")}
+    found = secrets.scan(named, text=at["text"], out="_spans")
     changed = F.size("_spans") > 0
-    text = F.when(changed, secrets.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    count = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("text", text).withColumn("n_chars", count).select(*docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more: four bits of a
-    fingerprint meet few of the near copies below 0.95."""
-    return jaccard.first_of_each(docs)
+    text = F.when(changed, secrets.redacted(F.col(at["text"]), F.col("_spans"))).otherwise(F.col(at["text"]))
+    count = F.when(changed, F.length(at["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(at["n_chars"]))
+    clean = found.withColumn(at["text"], text).withColumn(at["n_chars"], count)
+    return clean.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(own)])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = docs.columns
     rows = stored(docs.toDF(*[f"c{i}" for i in range(len(own))]).withColumn("_row", F.monotonically_increasing_id()), "rows")
     doc_id, source, text = (F.col(f"c{own.index(n)}") for n in ("doc_id", "source", "text"))
-    sizes = rows.select(F.col("_row").alias("doc_id"), source.alias("source"), mixing.word_count(text).alias("size"), F.xxhash64(doc_id, source).alias("key"))
+    sizes = rows.select(F.col("_row").alias("doc_id"), source.alias("source"), mixing.word_count(text).alias("size"), F.xxhash64(doc_id, source, text).alias("key"))
     taken = mixing.mixed(sizes).where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
     often = rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return often.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(own)])
@@ -56,7 +54,6 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("simhash", drop_copies),
     ("secrets", redact_secrets),
-    ("jaccard", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack),
 ]
