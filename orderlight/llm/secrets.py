@@ -19,16 +19,24 @@ KINDS = ("assign", "access", "hex", "markov")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"  # what the models judge
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{5,}"  # ordinary samples
 SAMPLE = 4000  # documents that the models are trained on, at most
+LOT = 128  # matches that are placed together
 LEAST = 0.5  # mean log-likelihood ratio per pair of characters, from which a token is a secret
 
 _SPAN = "array<struct<start:int,rank:int,end:int,hit:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` reads it in a loop."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans_of(text: Column, pattern: str, rank: int) -> Column:
     """Leftmost non-overlapping matches as structs (start, rank, end, hit) in code points. The texts between the
-    matches and the matches add up to the whole, which gives the places."""
+    matches and the matches add up to the whole, which gives the places: first where each lot of LOT matches starts,
+    then inside the lots, so that no long list is copied once a match."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"))
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+    none = F.expr(f"cast(array() as {_SPAN})")
+    size = lambda x: F.length(x["p"]) + F.coalesce(F.length(x["h"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
@@ -36,8 +44,19 @@ def spans_of(text: Column, pattern: str, rank: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["h"].alias("hit"))
         return F.struct(end.alias("at"), F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-    found = F.aggregate(pieces, begin, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+    def lots(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / LOT).cast("int")), lambda k: F.slice(p, k * LOT + 1, F.lit(LOT)))
+
+    def starts(some: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all"))
+        more = lambda acc, lot: F.struct((acc["at"] + F.aggregate(lot, F.lit(0), lambda t, x: t + size(x))).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(some, begin, more, lambda acc: acc["all"])
+
+    def inside(lot: Column, start: Column) -> Column:
+        return F.aggregate(lot, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    found = _let(pieces, lambda p: _let(lots(p), lambda some: F.flatten(F.zip_with(some, starts(some), inside))))
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -77,29 +96,31 @@ def train(docs: DataFrame, documents: int = SAMPLE, prior: float = 0.5) -> str:
 
 
 def likelihood(token: Column, ratios: str) -> Column:
-    """Mean log-likelihood ratio over the pairs of a token of ASCII characters."""
+    """Mean log-likelihood ratio over the pairs of a token of ASCII characters, in one walk."""
     grid = F.split(F.lit(ratios), ",").cast("array<double>")
-    code = lambda i: F.ascii(F.substring(token, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda s, i: s + F.get(grid, code(i) * 128 + code(i + 1)))
+
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        more = F.when(acc["before"] >= 0, F.get(grid, acc["before"] * 128 + code)).otherwise(0.0)
+        return F.struct(code.alias("before"), (acc["sum"] + more).alias("sum"))
+
+    total = F.aggregate(F.split(token, ""), F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
     return total / (F.length(token) - 1)
 
 
 def all_spans(text: Column, ratios: str, least: float = LEAST) -> Column:
     """Base spans and the models' spans that overlap none of them, by start, then kind."""
-    base = base_spans(text)
     long = F.filter(spans_of(text, TOKEN, 3), lambda s: likelihood(s["hit"], ratios) >= least)
-    return F.struct(base.alias("base"), long.alias("long"))
+    apart = lambda base, s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return _let(base_spans(text), lambda base: F.array_sort(F.concat(base, F.filter(long, lambda s: apart(base, s)))))
 
 
 def scan(docs: DataFrame, ratios: str | None = None, least: float = LEAST, text: str = "text", out: str = "spans") -> DataFrame:
     """``docs`` with a column ``out``: array of (start, rank, end, hit), sorted; rank is the place of the kind in
-    KINDS. A null text has no spans. Every row keeps its columns; an empty table stays empty."""
+    KINDS. A null text has no spans. Every row keeps its columns, but one named ``out`` is replaced; an empty table
+    stays empty."""
     ratios = ratios if ratios is not None else train(docs.select(F.col(text).alias("text")))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    both = all_spans(whole, ratios, least)
-    apart = lambda s: ~F.exists(F.col("_found")["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    spans = F.array_sort(F.concat(F.col("_found")["base"], F.filter(F.col("_found")["long"], apart)))
-    return docs.withColumn("_found", both).withColumn(out, spans).drop("_found")
+    return docs.withColumn(out, all_spans(F.coalesce(F.col(text), F.lit("")), ratios, least))
 
 
 def joined(spans: Column) -> Column:

@@ -154,18 +154,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFram
 
 def first_of_each(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     """One row of ``docs``, all its columns, of each class: the one with the smallest doc_id (null last), then the
-    smallest hash of the whole row. Rows equal in every column count once."""
+    smallest hash of the whole row. Rows equal in every column count once. Only fingerprints and the names of rows
+    (doc_id and hash) are stored; the wide rows meet the names of the winners once."""
     own = docs.columns
     named = docs.toDF(*[f"c{i}" for i in range(len(own))])
     doc_id, text = (F.col(f"c{own.index(n)}") for n in ("doc_id", "text"))
-    rank = F.struct(doc_id.isNull().alias("n"), doc_id.alias("i"), F.xxhash64(*[F.col(f"c{i}") for i in range(len(own))]).alias("h"))
-    rows = stored(named.withColumns({"_fp": simhash_column(text, width, seed), "_rank": rank}), "rows")
-    distinct = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("_rank").alias("r")), "prints")
+    name = {"_null": doc_id.isNull(), "_id": F.coalesce(doc_id.cast("long"), F.lit(0)), "_hash": F.xxhash64(*[F.col(f"c{i}") for i in range(len(own))])}
+    rank = F.struct(*[c.alias(k) for k, c in name.items()])
+    prints = stored(named.select(simhash_column(text, width, seed).alias("fp"), rank.alias("r")), "simhash")
+    distinct = stored(prints.groupBy("fp").agg(F.min("r").alias("r")), "prints")
     groups = connected(linked(distinct)).select(F.col("node").alias("fp"), F.col("component").alias("_group"))
     placed = distinct.join(groups, "fp", "left").withColumn("_group", F.coalesce("_group", "fp"))
-    # The winner's fingerprint and rank; only winners meet the wide rows.
-    best = placed.groupBy("_group").agg(F.min(F.struct("r", "fp")).alias("b")).select(F.col("b.fp").alias("_fp"), F.col("b.r").alias("_best"))
-    kept = rows.join(best, "_fp").where(F.col("_rank") == F.col("_best")).drop("_fp", "_rank", "_best").dropDuplicates()
+    best = placed.groupBy("_group").agg(F.min("r").alias("b")).select("b.*")
+    kept = named.withColumns(name).join(best, list(name), "left_semi").dropDuplicates(list(name))
     return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(own)])
 
 

@@ -169,6 +169,34 @@ def test_secrets_models_and_redaction(spark, none, small):
     assert secrets.train(none)
 
 
+def test_secrets_of_long_tokens_and_many_matches(spark):
+    """The walks are linear: a token of a million characters, and more matches than a lot holds."""
+    import random
+    import time
+
+    rng = random.Random(5)
+    token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP0123456789+/") for _ in range(1_000_000))
+    many = " ".join(f"token=ab{k:08d}" for k in range(3000))
+    docs = spark.createDataFrame([(1, token), (2, many)], "doc_id long, text string")
+    ratios = secrets.train(docs)
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secrets.scan(docs, ratios).collect()}
+    assert time.time() - began < 60
+    assert [(s.start, s["rank"], s.end) for s in got[2] if s["rank"] < 3] == base_of(many)
+    assert all(s.hit == many[s.start : s.end] for s in got[2]) and len(got[1]) <= 1
+
+
+def test_likelihood_equals_a_plain_walk(spark, small):
+    from pyspark.sql import functions as F
+
+    ratios = secrets.train(small)
+    grid = [float(x) for x in ratios.split(",")]
+    tokens = ["q7Zk29xPw4LmT8vB3nRy6Hd1", "a_perfectly_ordinary_identifier", "ab", "x" * 5000]
+    for r in spark.createDataFrame([(t,) for t in tokens], "t string").withColumn("v", secrets.likelihood(F.col("t"), ratios)).collect():
+        plain = sum(grid[ord(a) * 128 + ord(b)] for a, b in zip(r.t, r.t[1:])) / (len(r.t) - 1)
+        assert abs(r.v - plain) < 1e-9
+
+
 def test_secrets_stay_off_python(spark, small):
     plan = secrets.scan(small, ",".join(["0"] * 128 * 128))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
