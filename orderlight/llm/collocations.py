@@ -18,7 +18,7 @@ LONGEST = 3  # words of a phrase
 LEAST = 10  # occurrences of a candidate
 SHADOW = 50  # percent of a phrase's occurrences inside one longer candidate, from which it is dropped
 TOP = 2000  # phrases of a language
-HELD = 400_000  # counts that a task holds before it hands them on
+LOT = 4_000_000  # bytes of texts that a task counts at once
 POINTERS = 1_000_000  # suffixes that a task sorts, about
 HOT = 100_000  # occurrences of both leading words, from which their suffixes are dealt out by the next word
 
@@ -27,42 +27,79 @@ _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def pieces_of(text: str) -> list[list[bytes]]:
-    pieces = (piece.split() for piece in text.encode().translate(_FOLD).split(b"\n"))
-    return [words for words in pieces if words]
-
+class Words:
+    """The words of some texts: their different ones, each word's number among them, and each word's piece."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"\n".join(texts).translate(_FOLD), np.uint8)
+        gap = (raw == 10) | (raw == 32)
+        inner = np.concatenate([[True], gap, [True]])
+        first, behind = np.flatnonzero(inner[:-1] & ~inner[1:]), np.flatnonzero(~inner[:-1] & inner[1:])
+        offsets = np.concatenate([[0], np.cumsum(behind - first)])
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~gap])])
+        coded = packed.dictionary_encode()
+        self.dictionary, self.ids = coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy().astype(np.int64)
+        self.piece = np.cumsum(raw == 10)[first]
+
+    def counts(self) -> tuple[pa.Array, np.ndarray]:
+        return self.dictionary, np.bincount(self.ids, minlength=len(self.dictionary))
+
+    def suffixes(self, longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The first ``longest`` words from each place that has a word after it in its piece: the different ones as
+        texts, their counts and their words' numbers (-1 behind the end of the piece)."""
+        n = len(self.ids)
+        runs = np.full((n, longest), -1, np.int64)
+        for k in range(longest):
+            same = self.piece[k:] == self.piece[: n - k]
+            runs[: n - k, k] = np.where(same, self.ids[k:], -1)
+        runs = runs[runs[:, 1] >= 0] if n else runs
+        code, base, found = np.zeros(len(runs), np.int64), len(self.dictionary) + 1, None
+        for k in range(longest):
+            if k and (code.max(initial=0) + 1) * base >= 2**63:
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * base + runs[:, k] + 1
+        found, at, many = np.unique(code, return_index=True, return_counts=True)
+        runs = runs[at]
+        columns = [self.dictionary.take(pa.array(runs[:, k], mask=runs[:, k] < 0)) for k in range(longest)]
+        return pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()), null_handling="skip"), many, runs
+
+
+def _lots(batches):
+    """Rows (lang, text) -> (lang, Words) of about LOT bytes of texts of a language."""
+    held: dict[str, list] = {}
+    sizes: Counter = Counter()
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            held.setdefault(lang, []).append(text)
+            sizes[lang] += len(text) + 100
+            if sizes.total() > LOT:
+                most = max(sizes, key=sizes.get)
+                yield most, Words(held.pop(most))
+                del sizes[most]
+    for lang, texts in held.items():
+        yield lang, Words(texts)
 
-def _tally(batches, count, key_names: tuple[str, ...]):
-    """Rows (lang, text) -> what ``count(counter, words)`` counts in the pieces, by language, before any shuffle."""
-    held: dict[str, Counter] = {}
-    size = 0
 
-    def handed():
-        rows = [(lang, key.decode(), n) for lang, counter in held.items() for key, n in counter.items()]
-        columns = zip(*rows) if rows else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["lang", *key_names, "n"])
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counter = held.setdefault(lang, Counter())
-            before = len(counter)
-            for words in pieces_of(text):
-                count(counter, words)
-            size += len(counter) - before
-            if size > HELD:
-                yield handed()
-                held, size = {}, 0
-    if held:
-        yield handed()
+def _rows(lang: str, keys: pa.Array, counts: np.ndarray, **more) -> pa.RecordBatch:
+    columns = {"lang": pa.repeat(pa.scalar(lang), len(keys)), "key": keys.cast(pa.string()), "n": pa.array(counts, pa.int64())}
+    return pa.RecordBatch.from_pydict(columns | more)
 
 
 def _words(batches):
-    return _tally(batches, Counter.update, ("word",))
+    for lang, words in _lots(batches):
+        yield _rows(lang, *words.counts())
 
 
-def suffixes_of(words: list[bytes], longest: int) -> list[bytes]:
-    """The first ``longest`` words from each place on that has a word after it."""
-    return [b" ".join(words[k : k + longest]) for k in range(len(words) - 1)]
+def salts_of(words: Words, runs: np.ndarray, fans: dict[str, int]) -> np.ndarray:
+    """Per suffix 0, or 1 and more by its third word where both leading words are in ``fans``."""
+    fan = np.array([fans.get(w, 0) for w in words.dictionary.to_pylist()] if fans else [0] * len(words.dictionary), np.int64)
+    both = np.minimum(fan[runs[:, 0]], fan[runs[:, 1]])
+    salt = np.zeros(len(runs), np.int32)
+    some = np.flatnonzero(both)
+    if len(some) and runs.shape[1] > 2:
+        third = np.append([zlib.crc32(w.encode()) for w in words.dictionary.to_pylist()], 0)
+        salt[some] = 1 + third[runs[some, 2]] % both[some]
+    return salt
 
 
 def quicksorted(keys: np.ndarray, weight: np.ndarray, least: int, split: np.ndarray):
@@ -144,7 +181,7 @@ def _ranks(dictionary: pa.Array) -> np.ndarray:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) over all words of all pieces; ``docs`` has lang and text, no nulls."""
-    return docs.select("lang", "text").mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(_words, "lang string, key string, n long").groupBy("lang", F.col("key").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, longest: int = LONGEST, pointers: int = POINTERS, hot: int = HOT) -> DataFrame:
@@ -157,21 +194,16 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, longest
     total = words.agg(F.sum("n")).first()[0] or 0
     many = words.where((F.col("n") > hot) & (F.col("n") * 200_000 > total)).select("lang", "word", "n")
     # At most 200,000 words are that frequent.
-    heads = {(r.lang, r.word.encode()): -(-r.n // hot) for r in many.toLocalIterator()}
+    fans: dict[str, dict[str, int]] = {}
+    for r in many.toLocalIterator():
+        fans.setdefault(r.lang, {})[r.word] = -(-r.n // hot)
 
     def taken(batches):
-        def count(counter, found):
-            counter.update(suffixes_of(found, longest))
-
-        for batch in _tally(batches, count, ("suffix",)):
-            salts = []
-            for lang, suffix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, second, *after = suffix.encode().split(b" ", 2)
-                fan = min(heads.get((lang, first), 0), heads.get((lang, second), 0)) if heads else 0
-                salts.append(1 + zlib.crc32(after[0].split(b" ", 1)[0] if after else b"") % fan if fan else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salts, pa.int32())], names=["lang", "suffix", "n", "salt"])
-
-    found = docs.select("lang", "text").mapInArrow(taken, "lang string, suffix string, n long, salt int")
+        for lang, words in _lots(batches):
+            keys, counts, runs = words.suffixes(longest)
+            yield _rows(lang, keys, counts, salt=pa.array(salts_of(words, runs, fans.get(lang, {}))))
+
+    found = docs.select("lang", "text").mapInArrow(taken, "lang string, key string, n long, salt int").withColumnRenamed("key", "suffix")
     routed = found.repartition(max(16, -(-total // pointers)), F.col("lang"), F.substring_index("suffix", " ", 2), F.col("salt"))
     sorted_ = routed.mapInArrow(_sorted_phrases(least, longest), "lang string, phrase string, size int, n long")
     return sorted_.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
