@@ -67,7 +67,7 @@ def hot_customers(orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return stored(big.select(F.col("customer_id").alias("_hot")), "hot")
 
 
-def _rate() -> Column:
+def history_rate() -> Column:
     return F.when(
         F.col("prev_orders") > 0, F.col("prev_cancellations") / F.col("prev_orders")
     ).otherwise(F.lit(0.0))
@@ -104,4 +104,4 @@ def customer_history(orders: DataFrame, hot_rows: int = HOT_ROWS, prepared: bool
             .withColumn("prev_cancellations", F.col("before_is_canceled").cast("bigint"))
             .drop("before__one", "before_is_canceled")
         )
-    return out.withColumn("customer_cancel_rate", _rate())
+    return out.withColumn("customer_cancel_rate", history_rate())

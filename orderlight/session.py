@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 # Row bound under which a table of keys may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -37,11 +39,13 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="orderlight-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    # A core key cannot be set on a running session, so the folder is remembered here, per application.
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="orderlight-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

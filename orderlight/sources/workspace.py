@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,10 @@ from pyspark.sql import functions as F
 
 from orderlight.functions.cleaning import quoted, to_time
 from orderlight.operators.latest import latest_per_key
-from orderlight.operators.snapshots import version_states
+from orderlight.operators.snapshots import cumulative_snapshot, version_states
+from orderlight.session import stored
+from orderlight.sources.commits import commit, committed
+from orderlight.sources.parts import MANIFEST, buckets_for, extend_parts, read_manifest, read_parts, write_parts
 from orderlight.sources.schemas import LEDGERS, SNAPSHOT
 
 
@@ -32,9 +37,14 @@ def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = No
     return df.select(*columns) if columns else df
 
 
+class VersionTaken(Exception):
+    """Another writer published a version meanwhile; what was built on the one before must be built again."""
+
+
 @dataclass(frozen=True)
 class Workspace:
-    """Folder of tables. One writer at a time; readers see only complete files."""
+    """Folder of tables. Any number of writers: uploads and versions are entered by commits, which only one writer of a
+    name wins. Readers see only complete files."""
 
     spark: SparkSession
     root: str
@@ -43,14 +53,21 @@ class Workspace:
         return "/".join([self.root.rstrip("/"), *parts])
 
     def ledger(self, name: str) -> DataFrame:
-        """All appended rows; columns added by later releases read as NULL in old files."""
+        """All appended and committed rows; columns added by later releases read as NULL in old files."""
         schema = LEDGERS[name]
+        entered = committed(self.spark, self.path("commits", name), schema)
         try:
-            return self.spark.read.schema(schema).parquet(self.path("ledger", name))
+            rows = self.spark.read.schema(schema).parquet(self.path("ledger", name))
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            rows = None
+        found = [df for df in (rows, entered) if df is not None]
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], schema)
+
+    def commit(self, name: str, key: str, row: tuple) -> bool:
+        """Enter one row under a key that only one writer can take."""
+        return commit(self.spark, self.path("commits", name), key, LEDGERS[name], row)
 
     def append(self, name: str, rows: DataFrame | list[tuple]) -> None:
         if isinstance(rows, list):
@@ -73,14 +90,15 @@ class Workspace:
 
     def snapshot(self, version: str | None = None, columns: list[str] | None = None) -> DataFrame | None:
         """Orders of a version, or of the active one."""
-        if version is None:
-            current = self.active_version()
-            if current is None:
-                return None
-            version = current["dataset_version"]
-        df = self.spark.read.schema(SNAPSHOT).parquet(self.path("snapshots", f"dataset_version={version}"))
+        row = self.active_version() if version is None else self.versions().filter(F.col("dataset_version") == version).first()
+        if row is None:
+            return None
+        df = read_parts(self.spark, [r["part"] for r in self.manifest(row["processed_path"])])
         return df.select(*columns) if columns else df
 
+    def manifest(self, path: str) -> list:
+        return read_manifest(self.spark, path)
+
     def write_raw(self, items: DataFrame, batch_id: str) -> DataFrame:
         """Untouched copy of an upload, as text columns; returns it under the original names.
         The file uses plain column names, since source headers may hold any character."""
@@ -102,27 +120,50 @@ class Workspace:
         newest full version makes it the active one. ``unique_orders`` says that the snapshot
         holds one row per order, which saves a distinct count.
 
-        The version row publishes the files. A version without a row was never readable, so what
-        an unfinished run left under its name is written over; a published one never is."""
+        The version row publishes the files: they lie under names of their own, so what an
+        unfinished run left is never read."""
         if not self.ledger("dataset_versions").filter(F.col("dataset_version") == version).isEmpty():
             raise ValueError(f"Version {version} is already published.")
+        snapshot = stored(snapshot, "snapshot")
+        path = self.path("parts", f"{version}-{uuid.uuid4().hex}")
+        parts = write_parts(self.spark, snapshot, buckets_for(snapshot.count()), path)
+        orders = None if unique_orders else snapshot.agg(F.count_distinct("order_id")).first()[0]
+        while True:
+            number = self.ledger("dataset_versions").count() + 1
+            try:
+                return self.publish(number, version, parts, quarantine, report, batch_id, at, sample, orders)
+            except VersionTaken:
+                continue
+
+    def extend_version(self, base: dict, new: DataFrame, version: str, disjoint: bool) -> list[tuple]:
+        """Parts of ``base`` with the orders ``new`` added: only what changes is written."""
+        path = self.path("parts", f"{version}-{uuid.uuid4().hex}")
+        manifest = self.manifest(base["processed_path"])
+        if not manifest:
+            whole = cumulative_snapshot(None, new)
+            return write_parts(self.spark, whole, buckets_for(new.count()), path)
+        return extend_parts(self.spark, manifest, new, path, disjoint)
+
+    def publish(
+        self, number: int, version: str, parts: list[tuple], quarantine: DataFrame, report: DataFrame,
+        batch_id: str, at, sample: bool = False, orders: int | None = None,
+    ) -> dict:
+        """Enter ``parts`` as the ``number``-th version, or raise VersionTaken. Without ``orders`` there is a row an order."""
+        attempt = uuid.uuid4().hex
         paths = {
-            "processed_path": self.path("snapshots", f"dataset_version={version}"),
-            "quarantine_path": self.path("quarantine", f"dataset_version={version}"),
-            "report_path": self.path("reports", f"dataset_version={version}"),
+            "processed_path": self.path("manifests", f"dataset_version={version}", attempt),
+            "quarantine_path": self.path("quarantine", f"dataset_version={version}", attempt),
+            "report_path": self.path("reports", f"dataset_version={version}", attempt),
         }
-        types = {f.split()[0]: f.split()[1] for f in SNAPSHOT.split(",")}
-        snapshot.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()]).write.mode("overwrite").parquet(paths["processed_path"])
-        _write_csv(quarantine, paths["quarantine_path"], mode="overwrite")
-        report.write.mode("overwrite").json(paths["report_path"])
-        written = self.spark.read.schema(SNAPSHOT).parquet(paths["processed_path"])
-        orders = F.count("order_id") if unique_orders else F.count_distinct("order_id")
-        size = written.agg(F.count("*").alias("rows"), orders.alias("orders")).first()
-        self.append("dataset_versions", [(
-            version, at, batch_id, size["rows"], size["orders"],
-            paths["processed_path"], paths["quarantine_path"], paths["report_path"], sample,
-        )])
-        return {"row_count": size["rows"], "order_count": size["orders"], **paths}
+        self.spark.createDataFrame(parts, MANIFEST).coalesce(1).write.parquet(paths["processed_path"])
+        _write_csv(quarantine, paths["quarantine_path"])
+        report.write.json(paths["report_path"])
+        rows = sum(p[3] for p in parts)
+        size = {"row_count": rows, "order_count": rows if orders is None else orders}
+        row = (version, at, batch_id, *size.values(), *paths.values(), sample)
+        if not self.commit("dataset_versions", f"{number:010d}", row):
+            raise VersionTaken(version)
+        return {**size, **paths}
 
     def log_event(self, event_id: str, at, event_type: str, status: str, message: str, metadata_json: str = "{}") -> None:
         self.append("system_events", [(event_id, at, event_type, status, message, metadata_json)])
