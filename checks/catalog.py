@@ -913,6 +913,18 @@ def feature_importance(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(training.feature_importance(model), "feature STRING, importance DOUBLE")
 
 
+@query
+def top_importances(t: Tables) -> DataFrame:
+    """The 15 levels of the text features that go with cancellation most: importance is how far a level's canceled
+    orders, times all orders, lie from its share of all canceled ones (whole numbers, so exact)."""
+    levels = [F.concat(F.lit(f"{c}="), F.col(c)).alias("feature") for c in ("category_name_1", "payment_method")]
+    rows = t.history.select("is_canceled", F.explode(F.array(*levels)).alias("feature"))
+    counts = rows.groupBy("feature").agg(F.count("*").alias("n"), F.sum("is_canceled").alias("c"))
+    total = t.history.agg(F.count("*").alias("all_n"), F.sum("is_canceled").alias("all_c")).first()
+    found = counts.select("feature", F.abs(F.col("c") * F.lit(total["all_n"]) - F.col("n") * F.lit(total["all_c"])).cast("double").alias("importance"))
+    return selection.top_importances(found)
+
+
 @query
 def model_risk_drivers(t: Tables) -> DataFrame:
     p = training.prepared_snapshot(_training_orders(t))

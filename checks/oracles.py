@@ -742,6 +742,12 @@ SELECT order_id, CAST(place AS INTEGER) AS place, feature, {r('impact', 9)} AS i
 
 # ---- models and retraining ----
 
+oracle("top_importances", """
+SELECT feature, CAST(abs(sum(is_canceled) * any_value(t.n) - count(*) * any_value(t.c)) AS DOUBLE) AS importance
+FROM (SELECT 'category_name_1=' || category_name_1 AS feature, is_canceled FROM d_history
+  UNION ALL SELECT 'payment_method=' || payment_method, is_canceled FROM d_history) l,
+  (SELECT count(*) AS n, sum(is_canceled) AS c FROM d_history) t
+GROUP BY feature ORDER BY importance DESC, feature LIMIT 15""")
 oracle("split_check", "SELECT split, count(*) AS rows, count(DISTINCT is_canceled) = 2 AS both_classes FROM d_split GROUP BY 1")
 oracle("preprocess", """
 SELECT l.order_id, l.split, CAST((SELECT 10 + count(DISTINCT 'C' || CAST(o_custkey % 7 AS VARCHAR)) + count(DISTINCT CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN NULL

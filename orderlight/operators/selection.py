@@ -90,6 +90,13 @@ def current_status(events: DataFrame) -> DataFrame:
     )
 
 
+def top_importances(importances: DataFrame, n: int = 15) -> DataFrame:
+    """The ``n`` most important features, largest first; equal ones by name, a missing importance never. Tasks hand on
+    their own ``n`` rows."""
+    known = importances.filter(F.col("importance").isNotNull() & ~F.isnan("importance"))
+    return known.orderBy(F.desc("importance"), "feature").limit(n)
+
+
 COMPARED = ["roc_auc", "pr_auc", "brier", "recall_at_90_precision"]
 
 

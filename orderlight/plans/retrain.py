@@ -25,12 +25,16 @@ def training_snapshot(snapshot: DataFrame, settings: dict | None = None) -> Data
     return snapshot
 
 
-def _state(ws: Workspace, request: dict, status: str, at: datetime, **metadata) -> None:
-    ws.append("retraining_requests", [(
+def _row(request: dict, status: str, at: datetime, **metadata) -> tuple:
+    return (
         request["request_id"], request["model_version"], request["dataset_version"], request["trigger_type"],
         request.get("source", "modelops"), status, request.get("signals_json"),
         json.dumps(metadata, default=str), at,
-    )])
+    )
+
+
+def _state(ws: Workspace, request: dict, status: str, at: datetime, **metadata) -> None:
+    ws.append("retraining_requests", [_row(request, status, at, **metadata)])
 
 
 def current_requests(ws: Workspace) -> DataFrame:
@@ -51,13 +55,16 @@ def create_request(
         if found:
             return found.asDict()
     number = current_requests(ws).count()
-    request = {
-        "request_id": f"retrain_{dataset_version}_{number:04d}", "model_version": model_version,
-        "dataset_version": dataset_version, "trigger_type": trigger_type, "source": source,
-        "signals_json": json.dumps(signals or {}, default=str), "status": "RETRAINING_REQUIRED",
-    }
-    _state(ws, request, "RETRAINING_REQUIRED", at)
-    return request
+    while True:
+        request = {
+            "request_id": f"retrain_{dataset_version}_{number:04d}", "model_version": model_version,
+            "dataset_version": dataset_version, "trigger_type": trigger_type, "source": source,
+            "signals_json": json.dumps(signals or {}, default=str), "status": "RETRAINING_REQUIRED",
+        }
+        # The id is one commit: a number that another writer took is passed over.
+        if ws.commit("retraining_requests", request["request_id"], _row(request, "RETRAINING_REQUIRED", at)):
+            return request
+        number += 1
 
 
 def run_retraining(

@@ -56,7 +56,7 @@ def prediction_rows(
     model and time, so writing the same batch twice adds no new predictions."""
     key = F.concat_ws("|", F.col("order_id").cast("string"), F.lit(model_version), F.lit(at), F.lit(mode))
     return scored.select(
-        F.concat(F.lit("pred_"), F.substring(F.sha2(key, 256), 1, 24)).alias("prediction_id"),
+        F.concat(F.lit("pred_"), F.sha2(key, 256)).alias("prediction_id"),
         F.col("order_id").cast("string").alias("order_id"),
         F.lit(at).cast("timestamp").alias("predicted_at"),
         F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version"),

@@ -126,6 +126,48 @@ def test_two_uploads_at_once_lose_no_order(spark, workspace):
     assert sorted(r.prev_orders for r in workspace.snapshot().collect()) == [0, 1, 2, 3, 4]
 
 
+def test_two_writers_of_requests_get_two_ids(spark, workspace):
+    from orderlight.plans import retrain
+
+    got = []
+    run = lambda k: got.append(retrain.create_request(workspace, "m", "v001", f"T{k}", T0, {"k": k}, force_new=True)["request_id"])
+    threads = [threading.Thread(target=run, args=(k,)) for k in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    rows = retrain.current_requests(workspace).collect()
+    assert len(set(got)) == 3 and {r.request_id for r in rows} == set(got)
+    assert {(r.status, r.updated_at) for r in rows} == {("RETRAINING_REQUIRED", T0)}
+
+
+def test_top_importances(spark):
+    from orderlight.operators.selection import top_importances
+
+    rows = [(f"f{k:02d}", float(k // 3)) for k in range(40)] + [("none", None), ("nan", float("nan"))]
+    got = [(r.feature, r.importance) for r in top_importances(spark.createDataFrame(rows, "feature string, importance double")).collect()]
+    assert got == sorted(rows[:40], key=lambda x: (-x[1], x[0]))[:15]
+
+
+def test_generated_ids_follow_the_content(spark):
+    from orderlight.functions.features import inference_features
+
+    rows = [(10.0, 1.0, 5.0, 0.0, "cod", "A")] * 3 + [(11.0, 1.0, 5.0, 0.0, None, "A"), (11.0, 1.0, 5.0, 0.0, "A", None)]
+    df = spark.createDataFrame(rows, "price double, qty_ordered double, grand_total double, discount_amount double, payment_method string, category_name_1 string")
+    first, second = ({r.order_id for r in inference_features(df.repartition(n), "2024-01-01").collect()} for n in (1, 4))
+    assert first == second and len(first) == 5
+
+
+def test_other_queries_stand_without_optional_packages():
+    code = (
+        "import sys\n"
+        "sys.modules['xxhash'] = None\n"
+        "import importlib.abc\n"
+        "import __spark_entry__ as e\n"
+        "print('found', 'ingest_batch' in e.queries(), any(n.startswith('op') and n[2].isdigit() for n in e.queries()))\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert "found True False" in done.stdout, done.stderr[-2000:]
+
+
 def test_a_plain_local_session_finds_a_scratch_folder(tmp_path):
     code = (
         "from pyspark.sql import SparkSession\n"
