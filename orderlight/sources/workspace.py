@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orderlight.functions.cleaning import quoted, to_time
 from orderlight.operators.latest import latest_per_key
-from orderlight.operators.snapshots import cumulative_snapshot, version_states
+from orderlight.operators.snapshots import extended_snapshot, version_states
 from orderlight.session import stored
 from orderlight.sources.commits import commit, committed
 from orderlight.sources.parts import MANIFEST, buckets_for, extend_parts, read_manifest, read_parts, write_parts
@@ -93,11 +93,13 @@ class Workspace:
         row = self.active_version() if version is None else self.versions().filter(F.col("dataset_version") == version).first()
         if row is None:
             return None
-        df = read_parts(self.spark, [r["part"] for r in self.manifest(row["processed_path"])])
+        path = row["processed_path"]
+        df = read_parts(self.spark, [r["part"] for r in read_manifest(self.spark, path)] if self._listed(path) else [path])
         return df.select(*columns) if columns else df
 
-    def manifest(self, path: str) -> list:
-        return read_manifest(self.spark, path)
+    def _listed(self, path: str) -> bool:
+        """Whether the version is a list of parts; those of earlier releases are one folder of orders."""
+        return path.startswith(self.path("manifests", ""))
 
     def write_raw(self, items: DataFrame, batch_id: str) -> DataFrame:
         """Untouched copy of an upload, as text columns; returns it under the original names.
@@ -138,10 +140,12 @@ class Workspace:
     def extend_version(self, base: dict, new: DataFrame, version: str, disjoint: bool) -> list[tuple]:
         """Parts of ``base`` with the orders ``new`` added: only what changes is written."""
         path = self.path("parts", f"{version}-{uuid.uuid4().hex}")
-        manifest = self.manifest(base["processed_path"])
+        listed = self._listed(base["processed_path"])
+        manifest = read_manifest(self.spark, base["processed_path"]) if listed else []
         if not manifest:
-            whole = cumulative_snapshot(None, new)
-            return write_parts(self.spark, whole, buckets_for(new.count()), path)
+            old = None if listed else self.snapshot(base["dataset_version"])
+            whole = stored(extended_snapshot(old, new, disjoint=disjoint), "snapshot")
+            return write_parts(self.spark, whole, buckets_for(whole.count()), path)
         return extend_parts(self.spark, manifest, new, path, disjoint)
 
     def publish(

@@ -126,6 +126,17 @@ def test_two_uploads_at_once_lose_no_order(spark, workspace):
     assert sorted(r.prev_orders for r in workspace.snapshot().collect()) == [0, 1, 2, 3, 4]
 
 
+def test_versions_of_earlier_releases_are_read_and_extended(spark, workspace):
+    old = cumulative_snapshot(None, table(spark, [order(i, "c1", i) for i in range(5)]))
+    path = workspace.path("snapshots", "dataset_version=v001")
+    old.write.parquet(path)
+    workspace.append("dataset_versions", [("v001", T0, "b0", 5, 5, path, "", "", False)])
+    assert content(workspace.snapshot("v001")) == content(workspace.snapshot()) == content(old)
+    done = ingest.ingest_items(workspace, items(spark, [7, 8], 90), "b1", "1.csv", "k1", T0 + timedelta(days=1))
+    assert done["snapshot_orders"] == 7 and workspace.snapshot().count() == 7
+    assert sorted(r.prev_orders for r in workspace.snapshot().collect()) == list(range(7))
+
+
 def test_two_writers_of_requests_get_two_ids(spark, workspace):
     from orderlight.plans import retrain
 
