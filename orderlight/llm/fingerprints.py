@@ -22,7 +22,9 @@ def sketch(text: bytes, width: int = WIDTH, scale: int = SCALE) -> np.ndarray:
     so that only a text without words has an empty sketch.
 
     The threshold is fixed, so sketches of parts merge by union, and the share of one sketch's
-    hashes that the other holds estimates containment however unequal the texts are.
+    hashes that the other holds estimates containment however unequal the texts are. A sketch that
+    had to keep a hash above the threshold (see ``thin``) says only whether two texts are equal;
+    with both texts at hand ``likeness`` compares such texts by all their shingles.
     """
     hashes = np.unique(shingle_hashes(text.lower().split(), width, SEED))
     kept = hashes[: np.searchsorted(hashes, np.uint64(2**64 // scale))]
@@ -44,6 +46,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def thin(own: np.ndarray, scale: int = SCALE) -> bool:
+    """Whether a sketch holds only the one hash that it keeps for want of any below the threshold."""
+    return len(own) == 1 and int(own[0]) >= 2**64 // scale
+
+
+def likeness(a: bytes, b: bytes, own: np.ndarray, other: np.ndarray, width: int = WIDTH, scale: int = SCALE) -> tuple[float, float]:
+    """Containment and Jaccard similarity of two texts by their sketches; if either sketch is ``thin``, exactly, by
+    all shingles of both texts."""
+    if thin(own, scale) or thin(other, scale):
+        own, other = (np.unique(shingle_hashes(t.lower().split(), width, SEED)) for t in (a, b))
+    return containment(own, other), jaccard(own, other)
+
+
 def sketch_column(text: Column, width: int = WIDTH, scale: int = SCALE) -> Column:
     """The sketch of a text column as hex, 16 digits a hash in ascending order. Null counts as empty text."""
     @F.pandas_udf("string")
@@ -76,10 +91,12 @@ def edited(text: str, after: str) -> str:
 def _compare(doc_id, text: str, own: np.ndarray, after: str, next_own: np.ndarray, width: int, scale: int) -> dict:
     changed = edited(text, after).encode()
     other = sketch(changed, width, scale)
+    near_edited, jaccard_edited = likeness(text.encode(), changed, own, other, width, scale)
     return {
         "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(changed).hexdigest(),
         "fingerprint": own.astype(">u8").tobytes(), "edited_fingerprint": other.astype(">u8").tobytes(),
-        "near_edited": containment(own, other), "near_next": containment(own, next_own), "jaccard_edited": jaccard(own, other),
+        "near_edited": near_edited, "jaccard_edited": jaccard_edited,
+        "near_next": likeness(text.encode(), after.encode(), own, next_own, width, scale)[0],
     }
 
 
@@ -106,7 +123,8 @@ def edit_likeness(docs: DataFrame, width: int = WIDTH, scale: int = SCALE, part_
     order of a hash of their texts), and the first one for the last. Texts move once, to ranges that are walked in
     order; each range also gives its first and last text, one row a range, to close the gaps between ranges.
     A null text counts as empty; a table with one row is its own next; an empty table gives no rows.
-    Other columns are ignored. Repeated rows each get a result.
+    Other columns are ignored. Repeated rows each get a result. Texts so short that no shingle hash lies below the
+    threshold are compared by all shingles.
     """
     schema = _arrow(_ROW)
 

@@ -65,7 +65,8 @@ def traversal(vectors: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits:
 
 def visits_for(sample: np.ndarray, books, cosine: float, recall: float, most: int = 512) -> int:
     """Cells to visit so that ``recall`` of links at the least cosine are met from one end or the other: measured
-    on partners that are made at just that cosine from sample vectors, the hardest there are."""
+    on partners that are made at just that cosine from sample vectors, the hardest there are. Where ``most`` cells
+    don't reach it, twice as many are tried, up to the whole grid."""
     rng = np.random.default_rng(5)
     some = sample[rng.permutation(len(sample))[:1000]]
     side = rng.standard_normal(some.shape)
@@ -73,10 +74,14 @@ def visits_for(sample: np.ndarray, books, cosine: float, recall: float, most: in
     norm = np.sqrt((side * side).sum(axis=1, keepdims=True))
     partner = cosine * some + math.sqrt(1 - cosine**2) * side / np.maximum(norm, 1e-300)
     cells = len(books[0]) * len(books[1])
-    a, b = (traversal(v, books, min(most, cells)) for v in (some, partner))
-    rank = lambda lists, goal: np.where((lists == goal[:, None]).any(axis=1), (lists == goal[:, None]).argmax(axis=1), most)
-    need = np.minimum(rank(a, b[:, 0]), rank(b, a[:, 0]))
-    return int(min(cells, np.quantile(need, recall, method="higher") + 1))
+    while True:
+        most = min(most, cells)
+        a, b = (traversal(v, books, most) for v in (some, partner))
+        rank = lambda lists, goal: np.where((lists == goal[:, None]).any(axis=1), (lists == goal[:, None]).argmax(axis=1), most)  # noqa: E731,B023
+        need = np.quantile(np.minimum(rank(a, b[:, 0]), rank(b, a[:, 0])), recall, method="higher")
+        if need < most or most == cells:
+            return int(min(cells, need + 1))
+        most *= 2
 
 
 def fit(classes: DataFrame, dim: int, n: int, cosine: float = COSINE, recall: float = RECALL, rows: int = SAMPLE):

@@ -8,6 +8,7 @@ to the minimum, then the exceptions' positions (u16) and whole differences (u32)
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -33,8 +34,14 @@ PERCENTILE = 0.9  # of a block's values that the packed width holds
 END = 1  # id after each document
 MEMORY = 200_000  # words whose ids a task remembers
 
-# Fixed value: how the vocabulary splits lower-cased text.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+# How a vocabulary of words treats and splits text, as such files state it.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+SPECIAL = "<|"  # in every special token
 
 
 def _pack(low: np.ndarray, width: int) -> np.ndarray:
@@ -140,39 +147,52 @@ class Remembered(dict):
         return value
 
 
-def part_ids(tokenizer):
+def of_words(tokenizer) -> bool:
+    """Whether the vocabulary treats text by the rules that ``word_ids`` follows. Only then are a text's ids those of
+    its words."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or tokenizer.post_processor is not None:
+        return False
+    rules = [json.loads(part.__getstate__()) for part in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    model = tokenizer.model
+    plain = type(model).__name__ == "BPE" and not model.dropout and not model.unk_token and not model.byte_fallback
+    special = tokenizer.get_added_tokens_decoder().values()
+    return rules == [NORMAL, SPLIT] and plain and all(SPECIAL in t.content and not t.normalized for t in special)
+
+
+def part_ids(tokenizer, code: str):
     """Function from a part of a word to its ids."""
     letters = byte_letters()
 
     def make(part: str) -> bytes:
         if not part.isascii():
             part = "".join([letters[b] for b in part.encode()])
-        return array("H", [t.id for t in tokenizer.model.tokenize(part)]).tobytes()
+        return array(code, [t.id for t in tokenizer.model.tokenize(part)]).tobytes()
 
     return make
 
 
-def word_ids(tokenizer, parts: Remembered):
+def word_ids(tokenizer, parts: Remembered, code: str):
     """Function from a word to its ids, by the remembered ids of its parts."""
     pieces = regex.compile(PIECES)
 
     def make(word: str) -> bytes:
         # Below U+0250 lower-casing is plain but for one letter, and composed forms stay as they are.
-        if word.isprintable() and max(word) < "\u0250" and "<|" not in word and "\u0130" not in word:
+        if word.isprintable() and max(word) < "\u0250" and SPECIAL not in word and "\u0130" not in word:
             word = word.lower()
             if word.isalpha():
                 return parts[word]
             if word[:-1].isalpha() and word[-1] in ".,!?;:":
                 return parts[word[:-1]] + parts[word[-1]]
             return b"".join([parts[p] for p in pieces.findall(word)])
-        return array("H", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return array(code, tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     return make
 
 
 class Encoder:
-    """The vocabulary's ids of whole texts. White space always parts words there, so a text's ids are those of its
-    words, and a task remembers the words it has seen. Words of Latin letters and ASCII are lower-cased and split as the
+    """The vocabulary's ids of whole texts. In a vocabulary ``of_words`` white space parts words, so a text's ids are those
+    of its words, and a task remembers the words it has seen; any other vocabulary gets whole texts. Words of Latin
+    letters and ASCII are lower-cased and split as the
     vocabulary does, and their parts go to its model; any other word goes through the tokenizer whole, as do words
     that may hold a special token. Nothing here refers back to the encoder, so a worker that runs many tasks frees
     each task's vocabulary and words at its end, without waiting for the cycle collector."""
@@ -181,13 +201,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        small = max(self.tokenizer.get_vocab_size(), *self.tokenizer.get_added_tokens_decoder(), 0) < 2**16
+        self.code, self.kind = ("H", "<u2") if small else ("I", "<u4")
         self.odd = re.compile(r"[\x1c-\x1f]")  # white space to str.split() only
-        self.words = Remembered(word_ids(self.tokenizer, Remembered(part_ids(self.tokenizer), memory)), memory)
+        self.words = None
+        if of_words(self.tokenizer):
+            parts = Remembered(part_ids(self.tokenizer, self.code), memory)
+            self.words = Remembered(word_ids(self.tokenizer, parts, self.code), memory)
 
     def ids(self, text: str) -> bytes:
-        """Little-endian 16-bit ids; the vocabulary has fewer than 2^16."""
-        if self.odd.search(text):
-            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        """Little-endian ids of ``kind``: 16 bits where the vocabulary allows."""
+        if self.words is None or self.odd.search(text):
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
@@ -200,13 +227,14 @@ def write_tokens(docs: DataFrame, path: str, root: str, end: int = END, part_mb:
 
     def write(batches):
         task = TaskContext.get()
-        encoder, end_id = Encoder(path), np.array([end], "<u2").tobytes()
+        encoder = Encoder(path)
+        end_id = np.array([end], encoder.kind).tobytes()
         doc_ids, sizes, ids = [], [], []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = encoder.ids(text or "")
                 doc_ids.append(doc_id)
-                sizes.append(len(found) // 2 + 1)
+                sizes.append(len(found) // len(end_id) + 1)
                 ids.append(found)
                 ids.append(end_id)
         if doc_ids:
@@ -214,7 +242,7 @@ def write_tokens(docs: DataFrame, path: str, root: str, end: int = END, part_mb:
             store.create_dir(folder, recursive=True)
             name = f"{folder}/ids-{task.partitionId():06d}.pfor"
             with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
-                out.write(to_file(doc_ids, sizes, np.frombuffer(b"".join(ids), "<u2")))
+                out.write(to_file(doc_ids, sizes, np.frombuffer(b"".join(ids), encoder.kind)))
             store.move(f"{name}.{task.taskAttemptId()}.tmp", name)
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([len(doc_ids)], pa.int64())], schema=done)
 

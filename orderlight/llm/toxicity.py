@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +26,7 @@ EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "sore loser
 FOLD = {ord(c): letter for letter, likes in LOOKALIKES.items() for c in likes}
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on, at most
-LEXICON = 500  # words and stems it keeps, at most
+LEAST = 4  # toxic texts that hold a term of the lexicon, at least
 STEMS = (4, 5)  # letters at a word's start that count as a stem
 CHANCE = 0.05  # how likely any term of the lexicon may be there by chance
 CUT = 0.3  # score from which a document is toxic
@@ -145,15 +145,16 @@ def _counted(sample: DataFrame, terms) -> DataFrame:
     return each.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, words: int = LEXICON, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, least: int = LEAST, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Learns lexicon, exception phrases and calibration from a bounded sample of labelled rows.
 
-    A word or stem enters if it stands in at least four toxic texts and in one of a hundred of them, is at least
+    A word or stem enters if it stands in at least ``least`` toxic texts, however many there are, is at least
     e^3 times as frequent there, and if chance is a bad explanation: Chernoff's bound for its share of toxic texts is
-    below ``CHANCE`` by the number of terms that are looked at. Its weight is the log of the ratio. A stem that stands
+    below ``CHANCE`` by the number of terms that are looked at. Every such term stays; only the sample bounds how
+    many. Its weight is the log of the ratio. A stem that stands
     in more clean texts than one of its words, but in no more toxic ones, is left out. A pair of words becomes an
     exception if it holds a lexicon word, stands in three clean texts and in no toxic one. Without toxic labels
-    nothing scores.
+    nothing scores. Null texts count as empty, labels other than 0 and 1 are left out, other columns are ignored.
     """
     sample = labelled(docs, labels, rows)
     sizes = dict(sample.groupBy("toxic").count().collect())
@@ -161,20 +162,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, words: int = LEX
     if not n1 or not n0:
         return Model()
     ratio = F.log((F.col("bad") + 0.5) / (n1 + 1) / ((F.col("good") + 0.5) / (n0 + 1)))
-    counts = stored(_counted(sample, lambda t: terms_of(folded(t))).where("bad + good >= 4"), "terms")
+    counts = stored(_counted(sample, lambda t: terms_of(folded(t))).where(F.col("bad") + F.col("good") >= least), "terms")
     part = lambda n, share: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (F.col("bad") + F.col("good")) / share)).otherwise(0.0)
     evidence = part("bad", n1 / (n1 + n0)) + part("good", n0 / (n1 + n0))
     sure = evidence >= math.log(max(1, counts.count()) / CHANCE)
-    chosen = counts.where((F.col("bad") >= max(4, n1 // 100)) & (ratio >= 3) & sure).select("term", ratio.alias("w"), "bad", "good")
-    found = {r.term: r for r in chosen.orderBy(F.desc(F.col("w") * F.col("bad")), "term").limit(words).collect()}
-    weights = {t: r.w for t, r in found.items() if not t.endswith("*") or not any(
-        o.startswith(t[:-1]) and not o.endswith("*") and s.bad == r.bad and s.good < r.good for o, s in found.items())}
+    chosen = counts.where((F.col("bad") >= least) & (ratio >= 3) & sure).select("term", ratio.alias("w"), "bad", "good")
+    found = {r.term: r for r in chosen.collect()}
+    words = defaultdict(list)
+    for term, r in found.items():
+        for stem in {term[:n] + "*" for n in STEMS if len(term) >= n and not term.endswith("*")}:
+            words[stem].append(r)
+    loose = {t for t, r in found.items() if any(s.bad == r.bad and s.good < r.good for s in words.get(t, ()))}
+    weights = {t: r.w for t, r in found.items() if t not in loose}
 
     def pairs(text):
         every = [bare(w) for w in folded(text)]
         return {f"{a} {b}" for a, b in zip(every, every[1:]) if (a in weights or b in weights) and a and b}
 
-    harmless = _counted(sample, pairs).where("good >= 3 and bad = 0").orderBy(F.desc("good"), "term").limit(words)
+    harmless = _counted(sample, pairs).where("good >= 3 and bad = 0")
     phrases = tuple(" ".join(folded(p)) for p in exceptions) + tuple(r.term for r in harmless.collect())
     model = Model(weights, phrases)
 

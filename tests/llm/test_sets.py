@@ -157,6 +157,14 @@ def test_traversal_visits_the_nearest_cells():
     assert (np.sort(np.take_along_axis(total, got, 1)) == np.sort(total, axis=1)[:, :12]).all()
 
 
+def test_visits_go_on_until_the_recall_is_met():
+    rng = np.random.default_rng(2)
+    sample = multiindex.unit(rng.standard_normal((500, 16)))
+    books = multiindex.codebook(sample[:, :8], 20), multiindex.codebook(sample[:, 8:], 20)
+    want = multiindex.visits_for(sample, books, 0.5, 0.99, most=400)
+    assert want > 8 and multiindex.visits_for(sample, books, 0.5, 0.99, most=2) == want
+
+
 # --- mixing
 
 
@@ -253,6 +261,46 @@ def test_lexicon_leaves_chance_and_loose_stems_out(spark):
     assert words == {"viie"} and "iark" not in model.weights and "viie*" not in model.weights
 
 
+def test_lexicon_has_no_caps(spark):
+    # 600 insults, each in eight of 4800 toxic texts, so in fewer than one of a hundred of them.
+    spell = lambda i: "".join("bdfghkmnpr"[int(d)] for d in f"{i:05d}")
+    ids = [i for i in range(30_000) if zlib.crc32(str(i).encode()) % 4 != 2][:20_000]
+    rows = [(i, f"such {spell(k % 600)[2:]}ok {' '.join(spell(i))}", 1) for k, i in enumerate(ids[:4800])]
+    rows += [(i, f"such fine {' '.join(spell(i))}", 0) for i in ids[4800:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert {"".join(toxicity.folded(spell(i)[2:] + "ok")) for i in range(600)} <= set(model.weights)
+
+
+def plain_hits(words, model):
+    """Every position of a text tried against every term and phrase."""
+    text, some, covered = " ".join(words), {}, []
+    for k in range(len(text)):
+        if k and text[k - 1].isalnum():
+            continue
+        for phrase in model.exceptions:
+            end = k + len(phrase)
+            if text.startswith(phrase, k) and not text[end : end + 1].isalnum():
+                covered.append((k, end))
+        for term, weight in model.weights.items():
+            stem, inside = term.rstrip("*"), text[k + len(term.rstrip("*")) :][:1].isalnum()
+            if text.startswith(stem, k) and inside == term.endswith("*"):
+                some[k] = max(weight, some.get(k, weight))
+    return sorted(w for k, w in some.items() if not any(a <= k < b for a, b in covered))
+
+
+def test_automaton_finds_what_a_plain_search_finds():
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abo4іB .!-"))
+    for _ in range(400):
+        draw = lambda n: "".join(rng.choice(letters, n))
+        terms = {w for _ in range(6) for w in toxicity.terms_of(toxicity.folded(draw(8)))}
+        phrases = tuple(p for _ in range(2) if (p := " ".join(toxicity.bare(w) for w in toxicity.folded(draw(5)) if toxicity.bare(w))))
+        model = toxicity.Model({t: float(i + 1) for i, t in enumerate(sorted(terms))}, phrases)
+        words = toxicity.folded(draw(60))
+        assert sorted(toxicity.hits(words, toxicity.automaton(model))) == plain_hits(words, model)
+
+
 def test_toxicity_folds_and_excepts(spark, edge, none):
     from pyspark.sql import functions as F
 
