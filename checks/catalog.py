@@ -16,7 +16,7 @@ from orderlight.operators import (
     backtest, curves, decisions, drift, explain, latest, monitoring, retraining, sampling, selection, snapshots, validation,
 )
 from orderlight.operators.orders import customer_history, smallest_mode
-from orderlight.plans import ingest, retrain, scoring, training
+from orderlight.plans import ingest, registry, retrain, scoring, training
 from orderlight.session import scratch_path, stored
 from orderlight.sources import items as item_files
 from orderlight.sources import models as model_files
@@ -954,6 +954,35 @@ def retraining_run(t: Tables) -> DataFrame:
     return selection.current_status(ws.ledger("model_events")).select("model_id", "status", F.lit(status).alias("request_status"))
 
 
+@query
+def support_set(t: Tables) -> DataFrame:
+    """The four support tables of a split by the writer of the suite, read back: rows, orders, and rows outside their part."""
+    table = stored(sampling.temporal_split(t.labeled), "support-split")
+    test = table.filter(F.col("split") == "test").select("order_id", "is_canceled", "probability")
+    paths = training.support_tables(table.drop("probability"), test, scratch_path(t.spark, "support-set"))
+    parts = table.select(F.col("order_id").alias("_id"), "split")
+    found = None
+    for name, path in paths.items():
+        part = "train" if name == "reference_orders" else "test"
+        rows = t.spark.read.option("header", True).csv(path).select("order_id").join(parts, F.col("order_id") == F.col("_id"), "left")
+        one = rows.agg(F.count("*").alias("n_rows"), F.count_distinct("order_id").alias("n_orders"),
+                       F.count_if(~F.col("split").eqNullSafe(F.lit(part))).alias("n_outside")).select(F.lit(name).alias("support_table"), "*")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query
+def imported_model(t: Tables) -> DataFrame:
+    """A model packaged in one workspace, imported as candidate into another and promoted there: status and support."""
+    result = training.train_suite(_training_orders(t), "v1", ["logistic_regression"], {"logistic_regression": {"max_iter": 50}})
+    ws, model_id = _workspace(t), "logistic_regression__run"
+    path = registry.package_model(result, model_id, scratch_path(t.spark, "package"))
+    registry.import_candidate(ws, path, datetime(2002, 1, 1))
+    status = registry.promote(ws, model_id, datetime(2002, 1, 2)).select("model_id", "status")
+    support = registry.production_support(ws).select("model_id", "rebuilt", "holdout_rows", "train_rate", "validation_rate", "test_rate")
+    return shown(status.join(F.broadcast(support), "model_id"), 9)
+
+
 @query
 def final_benchmark(t: Tables) -> DataFrame:
     records, flags = retrain.final_benchmark(_training_orders(t), "v1")

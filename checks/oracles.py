@@ -748,6 +748,10 @@ FROM (SELECT 'category_name_1=' || category_name_1 AS feature, is_canceled FROM
   UNION ALL SELECT 'payment_method=' || payment_method, is_canceled FROM d_history) l,
   (SELECT count(*) AS n, sum(is_canceled) AS c FROM d_history) t
 GROUP BY feature ORDER BY importance DESC, feature LIMIT 15""")
+oracle("support_set", """
+SELECT name AS support_table, least(n, most) AS n_rows, least(n, most) AS n_orders, CAST(0 AS BIGINT) AS n_outside
+FROM (VALUES ('test_predictions', 'test', 9223372036854775807), ('reference_orders', 'train', 20000), ('historical_orders', 'test', 2500),
+  ('queue_orders', 'test', 2400)) k(name, part, most) JOIN (SELECT split, count(*) AS n FROM d_split GROUP BY 1) s ON s.split = k.part""")
 oracle("split_check", "SELECT split, count(*) AS rows, count(DISTINCT is_canceled) = 2 AS both_classes FROM d_split GROUP BY 1")
 oracle("preprocess", """
 SELECT l.order_id, l.split, CAST((SELECT 10 + count(DISTINCT 'C' || CAST(o_custkey % 7 AS VARCHAR)) + count(DISTINCT CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN NULL

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orderlight.operators.retraining import normalized_settings, request_status
 from orderlight.operators.sampling import time_spanning_sample
 from orderlight.operators.selection import current_status
+from orderlight.plans.registry import keep_suite
 from orderlight.plans.training import SuiteResult, train_suite
 from orderlight.session import stored
 from orderlight.sources.workspace import Workspace
@@ -71,7 +72,8 @@ def run_retraining(
     ws: Workspace, request: dict, at: datetime, done_at: datetime, settings: dict | None = None,
     overrides: dict | None = None, families: list[str] | None = None, gates: dict | None = None,
 ) -> tuple[dict, SuiteResult]:
-    """Run one request. The best qualified model becomes the candidate; production stays."""
+    """Run one request. All models are packaged and registered, the best qualified one becomes the candidate;
+    production stays."""
     s = normalized_settings(settings)
     _state(ws, request, "RUNNING", at, training_scope=s["training_scope"])
     try:
@@ -83,8 +85,7 @@ def run_retraining(
         result = train_suite(
             data, version, families, overrides, gates=gates,
             stamp=request["request_id"], training_scope=s["training_scope"])
-        ids = [r["model_id"] for r in result.records.select("model_id").collect()]
-        ws.append("model_events", [(m, "REGISTER", at, request["request_id"]) for m in ids])
+        ids = keep_suite(ws, result, at, request["request_id"])
         if result.candidate_id:
             ws.append("model_events", [(result.candidate_id, "CANDIDATE", done_at, request["request_id"])])
         status = "CANDIDATE_READY" if result.candidate_id else "COMPLETED_NO_CANDIDATE"
@@ -132,15 +133,6 @@ def manual_request(ws: Workspace, dataset_version: str, at: datetime) -> dict:
         source="modelops", force_new=True)
 
 
-def promote(ws: Workspace, model_id: str, at: datetime) -> DataFrame:
-    """Put a registered model into production; the previous one and the candidate step back."""
-    known = ws.ledger("model_events").filter(F.col("model_id") == model_id)
-    if known.isEmpty():
-        raise LookupError(f"No model {model_id} in the event log")
-    ws.append("model_events", [(model_id, "PROMOTE", at, "approved")])
-    return current_status(ws.ledger("model_events"))
-
-
 def final_benchmark(snapshot: DataFrame, dataset_version: str, **options) -> tuple[DataFrame, dict]:
     """Full-data comparison that changes no lifecycle state, with its contract flags."""
     result = train_suite(snapshot, dataset_version, stamp="benchmark", **options)

@@ -50,6 +50,13 @@ LEDGERS = {
         eligible_runtime_predictions BIGINT, labeled_observations BIGINT, severe_drift BOOLEAN
     """,
     "model_events": "model_id STRING, event STRING, at TIMESTAMP, reason STRING",
+    "model_records": """
+        model_id STRING, at TIMESTAMP, source STRING, path STRING, dataset_version STRING, threshold DOUBLE, record_json STRING
+    """,
+    "production_support": """
+        model_id STRING, promoted_at TIMESTAMP, path STRING, rebuilt BOOLEAN, holdout_rows BIGINT, mean_probability DOUBLE,
+        median_probability DOUBLE, p95_probability DOUBLE, train_rate DOUBLE, validation_rate DOUBLE, test_rate DOUBLE
+    """,
 }
 
 METRICS = """

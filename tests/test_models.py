@@ -10,7 +10,7 @@ from orderlight.contract import FEATURES, TARGET
 from orderlight.operators import explain, retraining, selection
 from orderlight.operators.orders import aggregate_to_orders, customer_history
 from orderlight.operators.validation import check_items
-from orderlight.plans import retrain, training
+from orderlight.plans import registry, retrain, training
 from orderlight.sources import models as model_files
 from orderlight.sources.items import generated_items, with_order
 from orderlight.sources.schemas import SUITE_SUMMARY
@@ -144,10 +144,12 @@ def test_retraining_from_request_to_promotion(spark, workspace):
     assert dict(rows(retrain.current_requests(workspace), "request_id", "status")) == {request["request_id"]: "CANDIDATE_READY"}
     state = dict(rows(selection.current_status(workspace.ledger("model_events")), "model_id", "status"))
     assert state[done["candidate_model_id"]] == "CANDIDATE" and "PRODUCTION" not in state.values()
-    after = dict(rows(retrain.promote(workspace, done["candidate_model_id"], T0 + timedelta(days=3)), "model_id", "status"))
+    after = dict(rows(registry.promote(workspace, done["candidate_model_id"], T0 + timedelta(days=3)), "model_id", "status"))
     assert after[done["candidate_model_id"]] == "PRODUCTION" and "CANDIDATE" not in after.values()
     with pytest.raises(LookupError):
-        retrain.promote(workspace, "nobody", T0)
+        registry.promote(workspace, "nobody", T0)
+    support = registry.production_support(workspace).first()
+    assert support["model_id"] == done["candidate_model_id"] and not support["rebuilt"] and support["holdout_rows"] == 135
 
     # Every stored model record agrees with a direct look at its predictions.
     record = {r["model_id"]: r for r in result.records.collect()}[done["candidate_model_id"]]
@@ -214,3 +216,56 @@ def test_benchmark_rows_from_nested_json(spark, tmp_path):
     assert sorted(rows(model_files.registry_runs(df), "run_name", "role", "status")) == [
         ("a", "suite / packaged", "READY"), ("b", "suite / packaged", "CANDIDATE")]
     assert "models" in SUITE_SUMMARY
+
+
+def test_packages_from_elsewhere_become_candidate_and_production(spark, workspace, tmp_path):
+    from orderlight.operators.validation import REPORT_SCHEMA
+
+    data = snapshot(spark, 400)
+    result = training.train_suite(data, "v9", ["logistic_regression"], SMALL, stamp="far")
+    model_id, path = "logistic_regression__far", str(tmp_path / "package")
+    registry.package_model(result, model_id, path)
+    status = lambda: dict(rows(selection.current_status(workspace.ledger("model_events")), "model_id", "status"))
+    assert registry.production_support(workspace).isEmpty()
+    record = registry.import_candidate(workspace, path, T0)
+    assert record["dataset_version"] == "v9" and status() == {model_id: "CANDIDATE"}
+    registry.promote(workspace, model_id, T0 + timedelta(days=1))
+    assert status() == {model_id: "PRODUCTION"}
+
+    held = {r.order_id: r.probability for r in result.scored.filter("split = 'test'").collect()}
+    first = registry.production_support(workspace).first()
+    assert first["path"].startswith(path) and not first["rebuilt"]
+    assert first["holdout_rows"] == len(held) and first["mean_probability"] == pytest.approx(sum(held.values()) / len(held))
+    rates = {s["split"]: s["cancellation_rate"] for s in result.prepared.stats}
+    assert [first[f"{s}_rate"] for s in ("train", "validation", "test")] == [rates[s] for s in ("train", "validation", "test")]
+
+    # A package without support tables: made anew from the active version, scored by the model.
+    bare = str(tmp_path / "bare")
+    training.save_model(spark, result.models[model_id], result.prepared.fill, bare)
+    spark.read.parquet(f"{path}/record").write.parquet(f"{bare}/record")
+    registry.register(workspace, bare, T0 + timedelta(days=2), "import")
+    with pytest.raises(ValueError):
+        registry.promote(workspace, model_id, T0 + timedelta(days=3))
+    assert registry.production_support(workspace).first()["path"] == first["path"]
+    workspace.write_version("v001", data, spark.createDataFrame([], "quarantine_reason STRING"), spark.createDataFrame([], REPORT_SCHEMA), "b", T0)
+    registry.promote(workspace, model_id, T0 + timedelta(days=4))
+    second = registry.production_support(workspace).first()
+    assert second["rebuilt"] and second["holdout_rows"] == len(held)
+    again = spark.read.schema(registry.PREDICTIONS).option("header", True).csv(f"{second['path']}/test_predictions")
+    assert {r.order_id: r.probability for r in again.collect()} == pytest.approx(held)
+
+
+def test_unfinished_and_foreign_packages_are_refused(spark, workspace, tmp_path):
+    with pytest.raises(ValueError, match="lacks its fill"):
+        registry.import_candidate(workspace, str(tmp_path / "nothing"), T0)
+    prepared = training.prepared_snapshot(snapshot(spark, 300))
+    model = training.fit_family(prepared, "logistic_regression", {"max_iter": 5})
+    path = str(tmp_path / "half")
+    training.save_model(spark, model, prepared.fill, path)
+    with pytest.raises(ValueError, match="lacks its record"):
+        registry.import_candidate(workspace, path, T0)
+    about = "model_id STRING, feature_schema_version STRING, dataset_version STRING, threshold DOUBLE, split_rates STRING"
+    spark.createDataFrame([("m", "of another release", "v1", 0.5, "{}")], about).write.parquet(f"{path}/record")
+    with pytest.raises(ValueError, match="feature schema"):
+        registry.import_candidate(workspace, path, T0)
+    assert workspace.ledger("model_events").isEmpty() and workspace.ledger("model_records").isEmpty()
