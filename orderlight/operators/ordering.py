@@ -16,7 +16,7 @@ from orderlight.session import small_side, stored
 _ROW_BITS = 33
 
 
-def _placed(df: DataFrame, sort: list[Column], label: str) -> DataFrame:
+def sorted_parts(df: DataFrame, sort: list[Column], label: str) -> DataFrame:
     """Rows with ``_part`` and ``_row`` (position inside the part), in global sort order."""
     numbered = (
         df.repartitionByRange(*sort)
@@ -33,7 +33,7 @@ def _placed(df: DataFrame, sort: list[Column], label: str) -> DataFrame:
 
 def global_rank(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:
     """Adds the 0-based position of each row in ``keys`` order. The keys must be unique."""
-    placed = _placed(df, [F.col(k).asc_nulls_last() for k in keys], "rank")
+    placed = sorted_parts(df, [F.col(k).asc_nulls_last() for k in keys], "rank")
     # One row per part, so the ordered window below is bounded by the partition count.
     offsets = (
         placed.groupBy("_part").agg(F.count("*").alias("_rows"))
@@ -54,7 +54,7 @@ def running_totals(
     of any size. The carried sums hold at most (parts + groups) rows; they are counted, and broadcast
     only within the bound."""
     ordered = [F.col(k).desc_nulls_last() if descending else F.col(k).asc_nulls_last() for k in order]
-    placed = _placed(df, [F.col(k).asc_nulls_first() for k in by] + ordered, "totals")
+    placed = sorted_parts(df, [F.col(k).asc_nulls_first() for k in by] + ordered, "totals")
     inside = Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = (

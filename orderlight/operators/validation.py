@@ -11,7 +11,7 @@ from orderlight.contract import LEAKAGE_COLUMNS, ORDER_ID_CANDIDATES, REQUIRED_C
 from orderlight.functions.cleaning import (
     clean_status, first_existing, normalize_ids, quoted, to_number, to_time,
 )
-from orderlight.session import small_side, stored
+from orderlight.session import BROADCAST_ROWS, small_side, stored
 
 MONEY_COLUMNS = ["price", "qty_ordered", "grand_total", "discount_amount"]
 ORD = "_ord"
@@ -44,38 +44,50 @@ def row_rules(df: DataFrame) -> dict[str, Column]:
     return rules
 
 
-def checked_rows(items: DataFrame) -> DataFrame:
-    """Stored table of distinct item rows with ``_copies``, first ``_ord`` and the row-rule
-    reasons. Later steps never need the copies themselves, only how many there are.
+def checked_rows(items: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Distinct item rows with ``_copies``, first ``_ord`` and the row-rule reasons. Later steps
+    never need the copies themselves, only how many there are. ``items`` is read several times:
+    hand in a stored table.
 
-    Repeated rows are rare, so full rows are not shuffled to find them. A first pass counts
-    8-byte row hashes; equal rows always share a hash, so only rows with a repeated hash can
-    have copies. Those few are grouped by all their columns, which is exact whatever the
-    hash. Map tasks collapse copies first, so one row repeated very often is no hot spot.
+    Repeated rows are rare, so full rows are neither shuffled nor written to find them. A first
+    pass counts 8-byte row hashes; equal rows always share a hash, so only rows with a repeated
+    hash can have copies. Those few are grouped by all their columns, which is exact whatever
+    the hash, and stored; all other rows stay a filter over the input. Map tasks collapse copies
+    first, so one row repeated very often is no hot spot. With more than ``bound`` repeated
+    hashes the filter would shuffle whole rows at each read, so the marked rows are then stored once.
     """
     df = normalize_ids(items)
     source = [c for c in df.columns if c != ORD]
     if ORD not in df.columns:
         df = df.withColumn(ORD, F.lit(None).cast("bigint"))
-    rules = row_rules(df)
-    marked = df.withColumn(
-        REASON, F.concat(*[F.when(bad, f"{name};").otherwise("") for name, bad in rules.items()])
-    ).withColumn(_HASH, F.xxhash64(*[quoted(c) for c in source]))
+    hashed = df.withColumn(_HASH, F.xxhash64(*[quoted(c) for c in source]))
     repeated = stored(
-        marked.groupBy(_HASH).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col(_HASH).alias("_hit")),
+        hashed.groupBy(_HASH).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col(_HASH).alias("_hit")),
         "repeated",
     )
-    # Left join: broadcast of a counted side, or the adaptive shuffle join beyond the bound.
-    staged = stored(
-        marked.join(small_side(repeated), F.col(_HASH) == F.col("_hit"), "left")
-        .withColumn("_again", F.col("_hit").isNotNull()).drop("_hit", _HASH),
-        "checked",
-    )
-    # Row groups without repeated rows are skipped by their statistics.
-    once = staged.filter(~F.col("_again")).drop("_again").withColumn(COPIES, F.lit(1).cast("bigint"))
-    again = staged.filter("_again").groupBy(*[quoted(c) for c in source], REASON).agg(
-        F.min(ORD).alias(ORD), F.count("*").alias(COPIES))
-    return once.unionByName(stored(again, "copies"))
+    hits = repeated.count()
+    if hits == 0:
+        return _with_reasons(df).withColumn(COPIES, F.lit(1).cast("bigint"))
+    if hits <= bound:
+        match = F.col(_HASH) == F.col("_hit")
+        single = hashed.join(F.broadcast(repeated), match, "left_anti")
+        several = hashed.join(F.broadcast(repeated), match, "left_semi")
+    else:
+        # Row groups without repeated rows are skipped by their statistics.
+        staged = stored(
+            hashed.join(repeated, F.col(_HASH) == F.col("_hit"), "left")
+            .withColumn("_again", F.col("_hit").isNotNull()).drop("_hit"),
+            "checked",
+        )
+        single, several = staged.filter(~F.col("_again")).drop("_again"), staged.filter("_again")
+    once = _with_reasons(single.drop(_HASH)).withColumn(COPIES, F.lit(1).cast("bigint"))
+    again = several.groupBy(*[quoted(c) for c in source]).agg(F.min(ORD).alias(ORD), F.count("*").alias(COPIES))
+    return once.unionByName(stored(_with_reasons(again), "copies"))
+
+
+def _with_reasons(df: DataFrame) -> DataFrame:
+    rules = row_rules(df)
+    return df.withColumn(REASON, F.concat(*[F.when(bad, f"{name};").otherwise("") for name, bad in rules.items()]))
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:
@@ -172,7 +184,7 @@ class ItemCheck:
 
 def check_items(items: DataFrame) -> ItemCheck:
     """Required columns, row rules and duplicates. The counts, the valid side and the
-    quarantine all read the stored checked rows."""
+    quarantine all read the checked rows, so ``items`` should be a stored table."""
     missing = missing_columns(items.columns)
     if missing:
         return ItemCheck(True, missing_column_report(missing), {"raw_rows": items.count(), "valid_rows": 0})
