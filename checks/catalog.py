@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.tables import Tables
-from orderlight.contract import TARGET
+from orderlight.contract import NUMERIC_FEATURES, TARGET
 from orderlight.functions import currency, economics, features, labels
 from orderlight.functions.cleaning import normalize_ids
 from orderlight.operators import (
-    backtest, curves, decisions, drift, explain, latest, monitoring, retraining, sampling, selection, snapshots, validation,
+    backtest, curves, decisions, drift, explain, latest, monitoring, quantiles, retraining, sampling, selection,
+    snapshots, validation,
 )
 from orderlight.operators.orders import customer_history, smallest_mode
 from orderlight.plans import ingest, registry, retrain, scoring, training
@@ -526,6 +527,23 @@ def feature_drift(t: Tables) -> DataFrame:
     return shown(drift.feature_drift(t.reference, current), 9)
 
 
+@query
+def profile_drift(t: Tables) -> DataFrame:
+    """Drift against a profile that was written once, made with kept sketches of two parts."""
+    columns = [c for c in NUMERIC_FEATURES if c in t.reference.columns]
+    cheap = F.coalesce(F.col("price") < 150, F.lit(False))
+    parts = [quantiles.quantile_sketches(t.reference.filter(p), columns) for p in (cheap, ~cheap)]
+    sketches = stored(quantiles.merged_sketches(stored(parts[0].unionByName(parts[1]), "sketches")), "merged")
+    profile = stored(drift.reference_profile(t.reference, sketches=sketches), "profile")
+    current = features.read_payload(monitoring.production_traffic(t.predictions))
+    return shown(drift.profile_drift(profile, current), 9)
+
+
+@query
+def kept_checks(t: Tables) -> DataFrame:
+    return shown(retraining.kept_history(retraining.recorded_checks(t.health_checks)))
+
+
 @query
 def severe_drift(t: Tables) -> DataFrame:
     traffic = monitoring.production_traffic(t.predictions)

@@ -553,6 +553,7 @@ SELECT pipeline, count(*) AS runs, count(*) FILTER (ok) AS successful, count(*)
 oracle("psi", "SELECT feature, " + r("psi", 9) + " AS psi FROM (" + " UNION ALL ".join(
     psi_sql("d_reference", "d_pred", f) for f in ("price", "qty_ordered", "grand_total", "discount_amount", "hour", "is_cod", "customer_cancel_rate")) + ")")
 oracle("feature_drift", f"SELECT feature, metric, {r('drift_score', 9)} AS drift_score, status FROM d_drift")
+oracle("profile_drift", f"SELECT feature, metric, {r('drift_score', 9)} AS drift_score, status FROM d_drift")
 oracle("severe_drift", f"""
 SELECT n AS severe_feature_drift_count, eligible >= 100 AND (coalesce(psi >= 0.25, false) OR n >= 2) AS severe_drift
 FROM (SELECT (SELECT count(*) FROM d_drift WHERE status = 'DRIFT') AS n, (SELECT count(*) FROM d_pred WHERE eligible) AS eligible,
@@ -683,6 +684,7 @@ oracle("temporal_split", "SELECT order_id, split FROM d_split")
 oracle("quick_sample", """
 SELECT order_id, created_at FROM d_split WHERE n <= 1000 OR pos IN (SELECT (i * (n - 1)) // 999 FROM (SELECT unnest(range(1000)) AS i, (SELECT count(*) FROM d_labeled) AS n))""")
 oracle("health_checks", _WALK + "SELECT model_version, checked_at, severe_drift FROM recorded")
+oracle("kept_checks", _WALK + "SELECT model_version, checked_at, severe_drift FROM recorded ORDER BY checked_at DESC, model_version DESC LIMIT 200")
 oracle("sustained_drift", _WALK + "SELECT model_version, recent_checks, sustained_drift FROM sustained")
 oracle("open_request", """
 SELECT model_version, dataset_version, trigger_type, request_id, status, created_at FROM (SELECT *, row_number() OVER (

@@ -209,11 +209,13 @@ def apply_outcomes(predictions: DataFrame, feedback: DataFrame, time: str) -> Da
 def labeled_performance(predictions: DataFrame) -> DataFrame:
     """Metrics of production predictions with known outcomes, at their median threshold. With
     fewer than two rows or a single class only the count is given."""
-    rows = (
+    # Three narrow columns, read for each figure below.
+    rows = stored(
         production_traffic(predictions)
         .withColumn("y", outcome_flag(F.col("actual_outcome")))
         .filter("y IS NOT NULL")
-        .select("y", "threshold", F.coalesce(F.col("probability").cast("double"), F.lit(0.0)).alias("p"))
+        .select("y", "threshold", F.coalesce(F.col("probability").cast("double"), F.lit(0.0)).alias("p")),
+        "labeled",
     )
     size = rows.agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high")).first()
     counted = rows.sparkSession.createDataFrame([(size["n"],)], "labeled_observations BIGINT")

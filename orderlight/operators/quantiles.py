@@ -5,6 +5,10 @@ position is bracketed instead: a sketch proposes two data values around it, one
 proves how many rows lie below and between, and the bracket shrinks until the values left
 inside fit a small array. Passes are narrow scans with bounded aggregates; nothing is sorted
 or shuffled.
+
+The first sketch is a mergeable one (KLL) that also counts the values. ``quantile_sketches`` keeps it
+with a table; ``merged_sketches`` combines those of several tables or parts. With kept sketches no
+scan is needed to size and bracket the columns.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ from orderlight.operators.binning import cell_counts, values_between
 # Values of one bracket that may be gathered into an array.
 BRACKET_ROWS = 100_000
 _SKETCH_ACCURACY = 10_000
+# Size of a kept sketch, and the rank error it is trusted with; a larger error only costs one more pass.
+KLL_SIZE = 4096
+_KLL_MARGIN = 0.002
+SKETCH_SCHEMA = "feature STRING, n BIGINT, sketch BINARY"
 
 
 @dataclass
@@ -94,18 +102,21 @@ def _proven_counts(df: DataFrame, edges: dict[str, list[float]]) -> dict[str, li
 
 
 def order_statistics(
-    df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int], bracket_rows: int = BRACKET_ROWS
+    df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int], bracket_rows: int = BRACKET_ROWS,
+    proposed: dict[str, list[float]] | None = None,
 ) -> dict[tuple[str, int], float]:
     """Values at 0-based positions of the sorted non-missing values of each column. A final bracket
     gathers at most ``bracket_rows`` values in a task; the driver gets edges and counts, and then only
-    the wanted values."""
+    the wanted values. ``proposed`` are sorted values to try as the first edges."""
     brackets = [
         _Bracket(c, k, None, None, 0, counts[c]) for c, ks in wanted.items() for k in sorted(set(ks))
     ]
     while wide := [b for b in brackets if b.value is None and b.inside > bracket_rows]:
-        proven = _proven_counts(df, _proposed_edges(df, wide))
+        first = {b.column: proposed[b.column] for b in wide if b.column in proposed} if proposed else {}
+        proven = _proven_counts(df, first or _proposed_edges(df, wide))
+        proposed = None
         for b in wide:
-            for edge, lt, le in proven[b.column]:
+            for edge, lt, le in proven.get(b.column, []):
                 b.narrow(edge, lt, le)
                 if b.value is not None:
                     break
@@ -122,18 +133,43 @@ def order_statistics(
     return {(b.column, b.position): b.value for b in brackets}
 
 
+def quantile_sketches(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, n, sketch) in one narrow scan: how many values a column has, and their sketch (null
+    without values). To be kept beside a table or a part of one."""
+    one = df.agg(*[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(columns)], *[
+        F.kll_sketch_agg_double(_number(c), F.lit(KLL_SIZE)).alias(f"s{i}") for i, c in enumerate(columns)])
+    cells = [F.struct(
+        F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.when(F.col(f"n{i}") > 0, F.col(f"s{i}")).alias("sketch"))
+        for i, c in enumerate(columns)]
+    return one.select(F.inline(F.array(*cells)))
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of several tables or parts as those of their union: (feature, n, sketch)."""
+    merged = sketches.groupBy("feature").agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double(F.col("sketch"), F.lit(KLL_SIZE)).alias("sketch"))
+    return merged.withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
+
+
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], bracket_rows: int = BRACKET_ROWS
+    df: DataFrame, columns: list[str], probabilities: list[float], bracket_rows: int = BRACKET_ROWS,
+    sketches: DataFrame | None = None,
 ) -> dict[str, list[float] | None]:
-    """Linear-interpolated quantiles per column; None for a column without values."""
-    sizes = df.agg(*[F.count(_number(c)).alias(c) for c in columns]).first().asDict()
+    """Linear-interpolated quantiles per column; None for a column without values. ``sketches`` are kept
+    ones of exactly the rows of ``df``; without them one scan makes them. Results are the same."""
+    near = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probabilities for d in (-_KLL_MARGIN, _KLL_MARGIN)])
+    known = quantile_sketches(df, columns) if sketches is None else sketches.filter(F.col("feature").isin(columns))
+    guess = F.when(F.col("n") > bracket_rows, F.kll_sketch_get_quantile_double(F.col("sketch"), near))
+    seen = {r["feature"]: r for r in known.select("feature", "n", guess.alias("guess")).collect()}
+    sizes = {c: seen[c]["n"] for c in columns}
+    proposed = {c: sorted(set(seen[c]["guess"])) for c in columns if seen[c]["guess"]}
     wanted: dict[str, list[int]] = {}
     for c in columns:
         n = sizes[c]
         if n:
             places = [(n - 1) * p for p in probabilities]
             wanted[c] = [math.floor(x) for x in places] + [math.ceil(x) for x in places]
-    got = order_statistics(df, wanted, sizes, bracket_rows) if wanted else {}
+    got = order_statistics(df, wanted, sizes, bracket_rows, proposed) if wanted else {}
     out: dict[str, list[float] | None] = {}
     for c in columns:
         n = sizes[c]

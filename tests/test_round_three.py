@@ -5,10 +5,10 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from orderlight.operators import retraining
+from orderlight.operators import drift, retraining
 from orderlight.operators import validation as v
+from orderlight.operators.quantiles import exact_quantiles, merged_sketches, quantile_sketches
 from tests.conftest import rows
 from tests.test_items import COLUMNS, item
 
@@ -78,3 +78,37 @@ def test_single_rows_are_neither_shuffled_nor_written(spark, tmp_path):
     spark.createDataFrame(items, COLUMNS).write.parquet(str(tmp_path / "items"))
     plan = v.checked_rows(spark.read.parquet(str(tmp_path / "items")))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_kept_sketches_of_parts_give_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(6000) < 0.3, 1.0, rng.lognormal(0, 2, 6000))
+    df = spark.createDataFrame([(float(a), None) for a in x] + [(float("nan"), None)], "x DOUBLE, y DOUBLE")
+    parts = [quantile_sketches(df.filter(p), ["x", "y"]) for p in ("x < 1", "x = 1", "x > 1")]
+    kept = merged_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    assert {r["feature"]: (r["n"], r["sketch"] is None) for r in kept.collect()} == {"x": (6000, False), "y": (0, True)}
+    probs = [0.0, 0.07, 0.2, 0.5, 0.93, 1.0]
+    got = exact_quantiles(df, ["x", "y"], probs, 50, kept)
+    np.testing.assert_allclose(got["x"], np.quantile(x, probs), rtol=1e-12)
+    assert got["y"] is None
+
+
+def test_drift_against_a_kept_profile_leaves_the_reference_unread(spark, tmp_path):
+    rng = random.Random(9)
+
+    def frame(n, shift):
+        data = [(rng.random() + shift, rng.choice(["a", "b", None])) for _ in range(n)]
+        return spark.createDataFrame(data, "price DOUBLE, payment_method STRING")
+
+    reference, current = frame(300, 0.0), frame(80, 0.4)
+    drift.reference_profile(reference).write.parquet(str(tmp_path / "profile"))
+    kept = spark.read.parquet(str(tmp_path / "profile"))
+    direct = {r["feature"]: tuple(r) for r in drift.feature_drift(reference, current).collect()}
+    assert set(direct) == {"price", "payment_method"}
+    for r in drift.profile_drift(kept, current).collect():
+        assert r["drift_score"] == pytest.approx(direct[r["feature"]][2], abs=1e-12) and r["status"] == direct[r["feature"]][3]
+    psi = drift.psi_table(reference, current, ["price"]).first()["psi"]
+    assert direct["price"][2] == pytest.approx(psi, abs=1e-12)
+    nothing = drift.profile_drift(drift.reference_profile(reference.limit(0)), current).collect()
+    assert {(r["feature"], r["drift_score"], r["status"]) for r in nothing} == {
+        ("price", None, "INSUFFICIENT DATA"), ("payment_method", None, "INSUFFICIENT DATA")}
