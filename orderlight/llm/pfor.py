@@ -9,13 +9,14 @@ to the minimum, then the exceptions' positions (u16) and whole differences (u32)
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
-from array import array
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
@@ -32,7 +33,7 @@ BLOCK_HEAD_SIZE = struct.calcsize(BLOCK_HEAD)
 BLOCK = 512
 PERCENTILE = 0.9  # of a block's values that the packed width holds
 END = 1  # id after each document
-MEMORY = 200_000  # words whose ids a task remembers
+LOT = 1 << 24  # bytes of texts whose words are looked up together
 
 # How a vocabulary of words treats and splits text, as such files state it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,6 +43,10 @@ SPLIT = {"type": "Sequence", "pretokenizers": [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]}
 SPECIAL = "<|"  # in every special token
+PLAIN = "^[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]*$"  # printable below U+0250, without U+0130
+KNOWN = 0x3000  # code points that plain words lower-cased stay below
+SPACE, LETTER, DIGIT, OTHER = range(4)
+ODD = "[\x1c-\x1f]"  # white space to the split only
 
 
 def _pack(low: np.ndarray, width: int) -> np.ndarray:
@@ -104,7 +109,7 @@ def decode_blocks(data: bytes, starts: np.ndarray, total: int, block: int = BLOC
     return out
 
 
-def to_file(doc_ids: list, sizes: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
+def to_file(doc_ids: list, sizes: list[int] | np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     blocks = encode_blocks(ids, block)
     known = np.array([d if d is not None else 0 for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
@@ -126,25 +131,28 @@ def from_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if n else d for d, n in zip(known.tolist(), null)], sizes, decode_blocks(data, starts, total, block)
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies use for each byte: itself where it prints, else the next from 256 on."""
-    own = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+def byte_letters() -> np.ndarray:
+    """The letter that byte-level vocabularies use for each byte: itself where it prints, else the next from 256 on.
+    Spaces stay."""
+    own = {b: b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
     rest = iter(range(256, 512))
-    return [own.get(b) or chr(next(rest)) for b in range(256)]
+    letters = np.array([own[b] if b in own else next(rest) for b in range(256)], "<u4")
+    letters[32] = 32
+    return letters
 
 
-class Remembered(dict):
-    """Values of ``make``, remembered until there are ``most``."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
+def gathered(values: np.ndarray, counts: np.ndarray, picks: np.ndarray, lot: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values``, as long as ``counts`` says, that ``picks`` names, one after the other, and their ends."""
+    begin, sizes = np.cumsum(counts) - counts, counts[picks]
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    at = 0
+    for first in range(0, len(picks), lot):  # the places of few picks at a time take little memory
+        some, size = picks[first : first + lot], sizes[first : first + lot]
+        stop = int(ends[first + len(some) - 1])
+        out[at:stop] = values[np.repeat(begin[some] - (ends[first : first + lot] - size), size) + np.arange(at, stop)]
+        at = stop
+    return out, ends
 
 
 def of_words(tokenizer) -> bool:
@@ -159,63 +167,124 @@ def of_words(tokenizer) -> bool:
     return rules == [NORMAL, SPLIT] and plain and all(SPECIAL in t.content and not t.normalized for t in special)
 
 
-def part_ids(tokenizer, code: str):
-    """Function from a part of a word to its ids."""
-    letters = byte_letters()
-
-    def make(part: str) -> bytes:
-        if not part.isascii():
-            part = "".join([letters[b] for b in part.encode()])
-        return array(code, [t.id for t in tokenizer.model.tokenize(part)]).tobytes()
-
-    return make
-
-
-def word_ids(tokenizer, parts: Remembered, code: str):
-    """Function from a word to its ids, by the remembered ids of its parts."""
-    pieces = regex.compile(PIECES)
-
-    def make(word: str) -> bytes:
+def _joined(words: pa.Array) -> str:
+    """All words, parted by one space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+
+
+def _kinds() -> np.ndarray:
+    """SPACE, LETTER, DIGIT or OTHER for each code point that lower-casing a plain word may give."""
+    text = "".join(map(chr, range(KNOWN)))
+    kinds = np.full(KNOWN, OTHER, np.uint8)
+    for kind, of in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (SPACE, r"\s")):
+        kinds[[m.start() for m in regex.finditer(of, text)]] = kind
+    return kinds
+
+
+def split_parts(text: str, kinds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What PIECES finds in lower-cased plain words parted by one space each, and the number of each part's word."""
+    code = np.frombuffer((text + " " * 3).encode("utf-32-le"), "<u4")
+    kind = kinds[code]
+    new = np.ones(len(code), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    # A contraction is a part of its own where no other sign stands before it.
+    at = np.flatnonzero(new[:-3] & (code[:-3] == ord("'")))
+    after = [code[at + 1], code[at + 2]]
+    one = np.isin(after[0], [ord(c) for c in "stmd"])
+    two = np.zeros(len(at), bool)
+    for a, b in ("re", "ve", "ll"):
+        two |= (after[0] == ord(a)) & (after[1] == ord(b))
+    new[at[one | two] + 1] = False
+    new[at[one] + 2] = True
+    new[at[two] + 2], new[at[two] + 3] = False, True
+    space = kind == SPACE
+    starts = np.flatnonzero(new & ~space)
+    size = np.where(space, 0, 1 + (code >= 0x80) + (code >= 0x800))
+    offsets = np.append((np.cumsum(size) - size)[starts], size.sum()).astype(np.int32)
+    parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(text.replace(" ", "").encode()))
+    return parts, np.cumsum(space)[starts]
+
+
+def word_ids(tokenizer, kind: str):
+    """Function from different words to the ids of all, one after the other, and the number of each word's. A part that
+    stands in several words goes to the vocabulary's model once."""
+    kinds, letters, model, number = _kinds(), byte_letters(), tokenizer.model, attrgetter("id")
+
+    def make(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # Below U+0250 lower-casing is plain but for one letter, and composed forms stay as they are.
-        if word.isprintable() and max(word) < "\u0250" and SPECIAL not in word and "\u0130" not in word:
-            word = word.lower()
-            if word.isalpha():
-                return parts[word]
-            if word[:-1].isalpha() and word[-1] in ".,!?;:":
-                return parts[word[:-1]] + parts[word[-1]]
-            return b"".join([parts[p] for p in pieces.findall(word)])
-        return array(code, tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, SPECIAL)).to_numpy(zero_copy_only=False)
+        parts, word = split_parts(_joined(words.filter(pa.array(plain))).lower(), kinds)
+        parts = parts.dictionary_encode()
+        names = letters[np.frombuffer(_joined(parts.dictionary).encode(), np.uint8)].tobytes().decode("utf-32-le").split()
+        ids = [list(map(number, model.tokenize(p))) for p in names]
+        ids += [tokenizer.encode(w, add_special_tokens=False).ids for w in words.filter(pa.array(~plain)).to_pylist()]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        values = np.fromiter(chain.from_iterable(ids), kind, int(counts.sum()))
+        each = np.ones(len(words), np.int64)
+        each[plain] = np.bincount(word, minlength=int(plain.sum()))
+        picks, split = np.empty(int(each.sum()), np.int64), np.repeat(plain, each)
+        picks[split] = parts.indices.to_numpy()
+        picks[~split] = np.arange(len(names), len(ids))
+        values, ends = gathered(values, counts, picks)
+        return values, np.diff(np.append(0, ends)[np.append(0, np.cumsum(each))])
 
     return make
 
 
 class Encoder:
     """The vocabulary's ids of whole texts. In a vocabulary ``of_words`` white space parts words, so a text's ids are those
-    of its words, and a task remembers the words it has seen; any other vocabulary gets whole texts. Words of Latin
+    of its words, and each different word of many texts is looked up once; any other vocabulary gets whole texts. Words of Latin
     letters and ASCII are lower-cased and split as the
     vocabulary does, and their parts go to its model; any other word goes through the tokenizer whole, as do words
     that may hold a special token. Nothing here refers back to the encoder, so a worker that runs many tasks frees
-    each task's vocabulary and words at its end, without waiting for the cycle collector."""
+    each task's vocabulary at its end, without waiting for the cycle collector."""
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         small = max(self.tokenizer.get_vocab_size(), *self.tokenizer.get_added_tokens_decoder(), 0) < 2**16
-        self.code, self.kind = ("H", "<u2") if small else ("I", "<u4")
-        self.odd = re.compile(r"[\x1c-\x1f]")  # white space to str.split() only
-        self.words = None
-        if of_words(self.tokenizer):
-            parts = Remembered(part_ids(self.tokenizer, self.code), memory)
-            self.words = Remembered(word_ids(self.tokenizer, parts, self.code), memory)
+        self.kind = "<u2" if small else "<u4"
+        self.words = word_ids(self.tokenizer, self.kind) if of_words(self.tokenizer) else None
 
     def ids(self, text: str) -> bytes:
         """Little-endian ids of ``kind``: 16 bits where the vocabulary allows."""
-        if self.words is None or self.odd.search(text):
-            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
+
+    def batch(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, ``end`` after each if given, and the number of each text's."""
+        n = len(texts)
+        whole = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.words else np.ones(n, bool)
+        lists = pc.utf8_split_whitespace(pc.if_else(pa.array(whole), "", texts))
+        known = lists.flatten().dictionary_encode()
+        values, counts = self.words(known.dictionary) if self.words else (np.empty(0, self.kind), np.zeros(len(known.dictionary), np.int64))
+        # Behind the words come the ids of texts that are not split, and the end.
+        rest = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.filter(pa.array(whole)).to_pylist()]
+        rest.append([] if end is None else [end])
+        sizes = np.fromiter(map(len, rest), np.int64, len(rest))
+        values = np.concatenate([values, np.fromiter(chain.from_iterable(rest), self.kind, int(sizes.sum()))])
+        tail = np.full(n, len(counts) + len(rest) - 1)
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = np.concatenate([stops[whole], stops])
+        extra = np.concatenate([len(counts) + np.arange(len(rest) - 1), tail])
+        order = np.argsort(np.concatenate([np.flatnonzero(whole), np.arange(n)]), kind="stable")
+        picks = np.insert(known.indices.to_numpy(zero_copy_only=False).astype(np.int64), at[order], extra[order])
+        ids, ends = gathered(values, np.concatenate([counts, sizes]), picks)
+        return ids, np.diff(np.append(0, ends)[np.append(0, stops + np.cumsum(whole) + np.arange(1, n + 1))])
+
+
+def _lots(batches, size: int = LOT):
+    """Joins batches until they hold ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def write_tokens(docs: DataFrame, path: str, root: str, end: int = END, part_mb: float = 16) -> int:
@@ -228,21 +297,18 @@ def write_tokens(docs: DataFrame, path: str, root: str, end: int = END, part_mb:
     def write(batches):
         task = TaskContext.get()
         encoder = Encoder(path)
-        end_id = np.array([end], encoder.kind).tobytes()
-        doc_ids, sizes, ids = [], [], []
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = encoder.ids(text or "")
-                doc_ids.append(doc_id)
-                sizes.append(len(found) // len(end_id) + 1)
-                ids.append(found)
-                ids.append(end_id)
+        doc_ids, sizes, ids = [], [np.empty(0, np.int64)], [np.empty(0, encoder.kind)]
+        for lot in _lots(batches):
+            found, size = encoder.batch(lot.column(1).cast(pa.string()).fill_null(""), end)
+            doc_ids += lot.column(0).to_pylist()
+            sizes.append(size)
+            ids.append(found)
         if doc_ids:
             store, folder = pafs.FileSystem.from_uri(root)
             store.create_dir(folder, recursive=True)
             name = f"{folder}/ids-{task.partitionId():06d}.pfor"
             with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
-                out.write(to_file(doc_ids, sizes, np.frombuffer(b"".join(ids), encoder.kind)))
+                out.write(to_file(doc_ids, np.concatenate(sizes), np.concatenate(ids)))
             store.move(f"{name}.{task.taskAttemptId()}.tmp", name)
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([len(doc_ids)], pa.int64())], schema=done)
 

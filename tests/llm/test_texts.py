@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -282,6 +283,39 @@ def test_any_vocabulary_gives_the_ids_of_the_library(name, edge, small, tmp_path
     assert (encoder.words is not None) == (name == "word_bpe_49k.json") and (encoder.kind == "<u4") == (name == "large")
 
 
+def test_parts_found_in_arrays_are_those_of_the_pattern():
+    import random
+
+    import regex
+
+    rng, kinds, pieces = random.Random(7), pfor._kinds(), regex.compile(pfor.PIECES)
+    letters = [chr(c) for c in range(33, 0x250) if chr(c).isprintable() and c != 0x130]
+    for _ in range(2000):
+        text = " ".join("".join(rng.choice(letters if rng.random() < 0.3 else "'stmdrelv1.-'") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 6))).lower()
+        parts, word = pfor.split_parts(text, kinds)
+        assert list(zip(word.tolist(), parts.to_pylist())) == [(i, p) for i, w in enumerate(text.split(" ")) for p in pieces.findall(w)]
+    assert "".join(letters).lower() < chr(pfor.KNOWN)
+
+
+def test_batches_of_texts_look_each_word_up_once(edge, small):
+    from tokenizers import Tokenizer
+
+    encoder, plain, asked = pfor.Encoder(vocabulary()), Tokenizer.from_file(vocabulary()), []
+    words = encoder.words
+    encoder.words = lambda known: asked.extend(known.to_pylist()) or words(known)
+    texts = [t for _, t in rows_of(edge)] + [t for _, t in rows_of(small)][:300]
+    texts += ["", " ", "\x1c", "a\x1fb c", "x\u2003y\u00a0z\x85", "\u0130I \u00adsoft", "Ⱥ ſ", *map(chr, range(0x20, 0x250))]
+    lots = list(pfor._lots(pa.record_batch({"text": pa.array(texts[a : a + 50])}) for a in range(0, len(texts), 50)))
+    assert len(lots) == 1 and len(list(pfor._lots(iter(lots * 3), size=1))) == 3
+    for end in (None, 1):
+        asked.clear()
+        ids, sizes = encoder.batch(lots[0].column(0), end)
+        want = [plain.encode(t, add_special_tokens=False).ids + [1] * (end is not None) for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(asked) == len(set(asked))
+    assert [len(x) for x in encoder.batch(pa.array([], pa.string()), 1)] == [0, 0]
+
+
 def test_token_blocks_round_trip(none):
     rng = np.random.default_rng(0)
     for ids in (np.empty(0, int), np.zeros(3, int), rng.integers(0, 49408, 5000), np.where(rng.random(2000) < 0.02, 49407, rng.integers(7, 40, 2000)), rng.integers(0, 2**32, 700)):
