@@ -78,27 +78,34 @@ def segments(texts: list[bytes], length: int = LENGTH):
         first = last
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Sorted starts of all suffixes of END-closed strings, by prefix doubling; an END is smaller the earlier it stands."""
-    rank = text.astype(np.int64)
-    closing = np.flatnonzero(text == END)
-    rank[closing] = END + np.arange(len(closing))
-    reach = 1
+def suffix_order(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Starts of all suffixes of END-closed strings, sorted by their first ``depth`` symbols (None: by all), by prefix
+    doubling from the first eight on; an END is smaller the earlier it stands."""
+    n, closing = len(text), np.flatnonzero(text == END)
+    raw = np.append(text, np.zeros(8, np.uint8))
+    words = np.lib.stride_tricks.as_strided(raw, (n, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
+    away = closing[np.searchsorted(closing, np.arange(n))] - np.arange(n)
+    short = away < 8  # what lies behind an END does not count
+    words[short] &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(7) - away[short].astype(np.uint64)))
+    order = np.argsort(words, kind="stable")  # of equal words with an END, the earlier END stands first
+    words, new = words[order], short[order]
+    new[1:] |= words[1:] != words[:-1]
+    reach = 8
     while True:
-        after = np.zeros(len(text), np.int64)
-        after[: len(text) - reach] = rank[reach:] + 1
-        key = rank * (len(text) + END + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(len(text), np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank, reach = new, reach * 2
-        if rank[order[-1]] == len(text) - 1:
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - new[0]
+        if rank[order[-1]] == n - 1 or (depth and reach >= depth):
             return order
+        key = rank * (n + 1)
+        key[: n - reach] += rank[reach:] + 1
+        order = np.argsort(key)
+        new = np.append(False, np.diff(key[order]) != 0)
+        reach *= 2
 
 
-def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def transform(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order and Burrows-Wheeler transform of END-closed strings; a whole string is preceded by an END."""
-    order = suffix_order(text)
+    order = suffix_order(text, depth)
     return order, text[order - 1]
 
 
@@ -107,35 +114,35 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     to which each merged suffix equals the one before it.
 
     Starts with the shards one after the other. Each round reads the transforms in the current interleave and sorts
-    the shard numbers, stably, by the symbols read: that orders the suffixes by one symbol more. The round in which
-    two neighbours part gives their common prefix. No suffix is compared or sorted again.
+    the rows, stably, by the symbols read: that orders the suffixes by one symbol more. A row is then that of the suffix
+    longer by the symbol, which within a shard is the same in every round. Two neighbours stay together for as many rounds
+    as their common prefix is long. No suffix is compared or sorted again.
     """
     sizes = np.array([len(t) for t in transforms])
-    symbols, base = np.concatenate(transforms), np.concatenate([[0], np.cumsum(sizes)])
+    symbols, base = np.concatenate(transforms), np.cumsum(sizes) - sizes
     n = len(symbols)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
-    rows = [np.arange(a, b, dtype=np.int32) for a, b in zip(base, base[1:])]
+    longer = np.empty(n, np.int64)
+    for t, at in zip(transforms, base.tolist()):
+        longer[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
     closings = [int((t == END).sum()) for t in transforms]
-    fixed = np.repeat(np.arange(len(sizes), dtype=np.uint8), closings)
-    common = np.full(n, depth, np.int16)
-    common[0] = 0
+    fixed = np.concatenate([np.arange(at + size - c, at + size) for at, size, c in zip(base, sizes, closings)])
+    row = np.arange(n)
+    common = np.zeros(n, np.int16)
     block = np.zeros(n, np.int32)
-    for k in range(1, depth + 1):
-        row = np.empty(n, np.int32)
-        for s in range(len(sizes)):
-            row[shard == s] = rows[s]
-        read = symbols[row]
+    parts = np.ones(n, bool)
+    for _ in range(depth):
+        read = symbols.take(row)
         order = np.argsort(read, kind="stable")
-        read, before = read[order], block[order]
-        shard = shard[order]
-        shard[n - len(fixed) :] = fixed  # suffixes that are only an END keep their order
-        parts = np.ones(n, bool)
-        parts[1:] = (read[1:] != read[:-1]) | (before[1:] != before[:-1]) | (read[1:] == END)
-        common[parts & (common == depth)] = k - 1
+        row, read, before = longer.take(row.take(order)), read.take(order), block.take(order)
+        row[n - len(fixed) :] = fixed  # suffixes that are only an END keep their order
+        parts[1:] = read[1:] != read[:-1]
+        parts[1:] |= before[1:] != before[:-1]
+        parts[n - len(fixed) :] = True
+        common += ~parts
         block = np.cumsum(parts, dtype=np.int32)
-        if parts.all():
+        if block[-1] == n:
             break
-    return shard, common
+    return np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes).take(row), common
 
 
 def least_owner(strings: list[bytes], owners: np.ndarray, length: int = LENGTH, shards: int = 4) -> list[np.ndarray]:
@@ -147,7 +154,7 @@ def least_owner(strings: list[bytes], owners: np.ndarray, length: int = LENGTH,
     sizes = np.array([len(s) + 1 for s in strings])
     for group in groups:
         text = np.frombuffer(b"\xff".join(strings[i] for i in group) + b"\xff", np.uint8)
-        order, symbols = transform(text)
+        order, symbols = transform(text, length)
         ends = np.cumsum(sizes[group])
         which = np.searchsorted(ends, order, side="right")
         places.append((np.array(group)[which], order - (ends - sizes[group])[which]))
@@ -192,6 +199,11 @@ def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values)
 
 
+def _marks(key: np.ndarray) -> np.ndarray:
+    """32 bits of each anchor: few segments have to be named to find those of known anchors."""
+    return (key >> np.uint64(32)).astype(np.uint32)
+
+
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
 
@@ -246,7 +258,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, batch_mb: float = 32, least:
         many = owner[at] != owner[np.append(at[1:], len(key)) - 1] if len(key) else np.empty(0, bool)
         key = key[at]
         order, cuts = _by_bucket(key, buckets)
-        mark, many = (key[order] >> np.uint64(32)).astype(np.uint32), many[order]
+        mark, many = _marks(key[order]), many[order]
         batch = one.column("batch")[0].as_py()
         return _rows(marked, [(b, batch, mark[x:y][~many[x:y]].tobytes(), mark[x:y][many[x:y]].tobytes()) for b, x, y in cuts])
 
@@ -297,14 +309,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, batch_mb: float = 32, least:
         same = key[at][1:] == key[at][:-1]
         return key, name, batch, low, high, at, np.append(same, False) | np.append(False, same)
 
-    asked = pa.schema([("batch", pa.int32()), ("names", pa.binary())])
+    asked = pa.schema([("batch", pa.int32()), ("marks", pa.binary()), ("names", pa.binary())])
 
     def crowded(one: pa.Table) -> pa.Table:
-        """Of anchors with several segments: each segment's name, to one batch that has it."""
-        _, name, batch, _, _, at, several = met(one)
+        """Of anchors with several segments: each segment's anchor and name, to one batch that has it."""
+        key, name, batch, _, _, at, several = met(one)
         at = at[several]
         at = at[np.argsort(batch[at], kind="stable")]
-        return _rows(asked, [(int(batch[x[0]]), name[x].tobytes()) for x in np.split(at, np.flatnonzero(np.diff(batch[at])) + 1) if len(x)])
+        return _rows(asked, [(int(batch[x[0]]), _marks(key[x]).tobytes(), name[x].tobytes()) for x in np.split(at, np.flatnonzero(np.diff(batch[at])) + 1) if len(x)])
 
     sent = pa.schema([("bucket", pa.int32()), ("names", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
 
@@ -312,9 +324,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, batch_mb: float = 32, least:
         """The bytes of the segments that the batch was asked for."""
         if not left.num_rows or not right.num_rows:
             return _rows(sent, [])
-        wanted = np.unique(_joined(right, "names", np.uint64))
+        wanted, anchored = np.unique(_joined(right, "names", np.uint64)), np.unique(_joined(right, "marks", np.uint32))
         known: dict[int, tuple[int, bytes]] = {}
         for _, data, _, key, starts, counts in segments(_texts(left)[0], length):
+            at = _among(anchored, _marks(key))
+            key, starts, counts = key[at], starts[at], counts[at]
             name = _names(data, starts, counts, length)
             raw = data.tobytes()
             for i in _among(wanted, name).tolist():
@@ -330,7 +344,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, batch_mb: float = 32, least:
             rows.append((b, np.array(members, np.uint64).tobytes(), np.array([len(t) for t in texts], np.int32).tobytes(), b"".join(texts)))
         return _rows(sent, rows)
 
-    answer = pa.schema([("batch", pa.int32()), ("names", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary())])
+    answer = pa.schema([("batch", pa.int32()), ("marks", pa.binary()), ("names", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary())])
 
     def resolved(left: pa.Table, right: pa.Table) -> pa.Table:
         """Each batch's segments with the least document of each of their strings, where that is a smaller one than
@@ -363,7 +377,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, batch_mb: float = 32, least:
         for some in np.split(useful, np.flatnonzero(np.diff(batch[useful])) + 1) if len(useful) else []:
             answers = [found[g] for g in group[some].tolist()]
             counts = np.array([len(a) for a in answers], np.int32)
-            rows.append((int(batch[some[0]]), name[some].tobytes(), counts.tobytes(), np.concatenate(answers).tobytes()))
+            rows.append((int(batch[some[0]]), _marks(key[some]).tobytes(), name[some].tobytes(), counts.tobytes(), np.concatenate(answers).tobytes()))
         return _rows(answer, rows)
 
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -371,13 +385,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, batch_mb: float = 32, least:
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, ids = _texts(left)
         name, counts, owners = (_joined(right, c, t) for c, t in (("names", np.uint64), ("counts", np.int32), ("owners", np.int64)))
-        begin = np.cumsum(counts) - counts
+        anchored, begin = np.unique(_joined(right, "marks", np.uint32)), np.cumsum(counts) - counts
         order = np.argsort(name, kind="stable")
         name, counts, begin = name[order], counts[order], begin[order]
         rows = []
-        for some, data, ends, _, starts, sizes in segments(texts, length):
+        for some, data, ends, key, starts, sizes in segments(texts, length):
             step = np.zeros(len(data) + 1, np.int32)
-            if len(name) and len(starts):
+            at = _among(anchored, _marks(key))
+            starts, sizes = starts[at], sizes[at]
+            if len(starts):
                 names_of = _names(data, starts, sizes, length)
                 at = _among(name, names_of)
                 place = np.searchsorted(name, names_of[at])
@@ -403,9 +419,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, batch_mb: float = 32, least:
     marks = per_batch.applyInArrow(anchors, "bucket int, batch int, one binary, more binary")
     lists = marks.groupBy("bucket").applyInArrow(shared, "batch int, bucket int, known binary")
     segments_of = per_batch.cogroup(lists.groupBy("batch")).applyInArrow(names, "bucket int, batch int, key binary, name binary, least binary, most binary")
-    asks = segments_of.groupBy("bucket").applyInArrow(crowded, "batch int, names binary")
+    asks = segments_of.groupBy("bucket").applyInArrow(crowded, "batch int, marks binary, names binary")
     spelt = per_batch.cogroup(asks.groupBy("batch")).applyInArrow(spelled, "bucket int, names binary, sizes binary, bytes binary")
-    answers = segments_of.groupBy("bucket").cogroup(spelt.groupBy("bucket")).applyInArrow(resolved, "batch int, names binary, counts binary, owners binary")
+    answers = segments_of.groupBy("bucket").cogroup(spelt.groupBy("bucket")).applyInArrow(resolved, "batch int, marks binary, names binary, counts binary, owners binary")
     return per_batch.cogroup(answers.groupBy("batch")).applyInArrow(applied, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -389,3 +389,41 @@ def test_merged_transforms_give_sorted_suffixes_and_prefixes():
     for a, b, c in zip(short, short[1:], common[1:]):
         same = next((k for k in range(12) if a[k : k + 1] != b[k : k + 1] or a[k] == 255), 12)
         assert c == same
+
+
+def test_transforms_ordered_by_a_depth_are_enough():
+    import random
+
+    rng = random.Random(5)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 7, 8, 9, 30]))) for _ in range(200)] + [b"ab" * 40, b"ab" * 40 + b"a"]
+    text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
+    raw, ends = text.tobytes(), np.flatnonzero(text == 255)
+
+    def symbols(start):  # up to the END, which is smaller the earlier it stands
+        stop = int(ends[np.searchsorted(ends, start)])
+        return [(b, 0) for b in raw[start:stop]] + [(255, stop)]
+
+    whole = sorted(range(len(text)), key=symbols)
+    assert suffixes.suffix_order(text).tolist() == whole
+    for depth in (1, 8, 20):
+        cut = [symbols(i)[:depth] for i in suffixes.suffix_order(text, depth).tolist()]
+        assert cut == sorted(cut) and len(cut) == len(text)
+    # Rows of equal first symbols may stand in any order, so a merge of such transforms is that of fully sorted ones.
+    texts = [np.frombuffer(b"\xff".join(strings[s::3]) + b"\xff", np.uint8) for s in range(3)]
+    for depth in (1, 8, 20):
+        short = suffixes.merge([suffixes.transform(t, depth)[1] for t in texts], depth)
+        full = suffixes.merge([suffixes.transform(t)[1] for t in texts], depth)
+        starts = np.flatnonzero(full[1] < depth)
+        assert (short[1] == full[1]).all()
+        assert all((np.sort(a) == np.sort(b)).all() for a, b in zip(np.split(short[0], starts), np.split(full[0], starts)))
+
+
+def test_segments_are_found_by_marks_of_their_anchors():
+    texts = [(("%d " % k) * 60).encode() + b"passage " * 12 for k in range(40)]
+    for _, data, _, key, starts, counts in suffixes.segments(texts):
+        marks = suffixes._marks(key)
+        known = np.unique(marks[::7])
+        at = suffixes._among(known, marks)
+        assert set(key[::7].tolist()) <= set(key[at].tolist()) and len(at) < len(key)
+        named = suffixes._names(data, starts, counts, 50)
+        assert (suffixes._names(data, starts[at], counts[at], 50) == named[at]).all()
