@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from itertools import chain
 from operator import attrgetter
 
@@ -34,6 +35,7 @@ BLOCK = 512
 PERCENTILE = 0.9  # of a block's values that the packed width holds
 END = 1  # id after each document
 LOT = 1 << 24  # bytes of texts whose words are looked up together
+SOME = 1 << 16  # words that are split at once
 
 # How a vocabulary of words treats and splits text, as such files state it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -199,10 +201,17 @@ def split_parts(text: str, kinds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     new[at[two] + 2], new[at[two] + 3] = False, True
     space = kind == SPACE
     starts = np.flatnonzero(new & ~space)
-    size = np.where(space, 0, 1 + (code >= 0x80) + (code >= 0x800))
-    offsets = np.append((np.cumsum(size) - size)[starts], size.sum()).astype(np.int32)
+    size = (~space).astype(np.uint8)
+    size[code >= 0x80] = 2
+    size[code >= 0x800] = 3
+    ends = np.cumsum(size, dtype=np.int32)
+    offsets = np.append(ends[starts] - size[starts], ends[-1]).astype(np.int32)
     parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(text.replace(" ", "").encode()))
-    return parts, np.cumsum(space)[starts]
+    return parts, np.cumsum(space, dtype=np.int32)[starts]
+
+
+def _slices(words: pa.Array, size: int = SOME):
+    return (words[at : at + size] for at in range(0, len(words), size))
 
 
 def word_ids(tokenizer, kind: str):
@@ -213,20 +222,29 @@ def word_ids(tokenizer, kind: str):
     def make(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # Below U+0250 lower-casing is plain but for one letter, and composed forms stay as they are.
         plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, SPECIAL)).to_numpy(zero_copy_only=False)
-        parts, word = split_parts(_joined(words.filter(pa.array(plain))).lower(), kinds)
-        parts = parts.dictionary_encode()
-        names = letters[np.frombuffer(_joined(parts.dictionary).encode(), np.uint8)].tobytes().decode("utf-32-le").split()
-        ids = [list(map(number, model.tokenize(p))) for p in names]
-        ids += [tokenizer.encode(w, add_special_tokens=False).ids for w in words.filter(pa.array(~plain)).to_pylist()]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        values = np.fromiter(chain.from_iterable(ids), kind, int(counts.sum()))
+        some = [split_parts(_joined(w).lower(), kinds) for w in _slices(words.filter(pa.array(plain)))]
+        parts = pa.chunked_array([p for p, _ in some], pa.string()).dictionary_encode().combine_chunks()
+        word = np.concatenate([np.empty(0, np.int64), *(w + k * SOME for k, (_, w) in enumerate(some))])
+        # One array for all ids: words that never recur would take many small lists.
+        values, counts = array("I"), array("I")
+        for slice_ in _slices(parts.dictionary):
+            for part in letters[np.frombuffer(_joined(slice_).encode(), np.uint8)].tobytes().decode("utf-32-le").split(" "):
+                ids = model.tokenize(part)
+                counts.append(len(ids))
+                values.extend(map(number, ids))
+        known = len(counts)
+        for slice_ in _slices(words.filter(pa.array(~plain))):
+            for whole in slice_.to_pylist():
+                ids = tokenizer.encode(whole, add_special_tokens=False).ids
+                counts.append(len(ids))
+                values.extend(ids)
         each = np.ones(len(words), np.int64)
         each[plain] = np.bincount(word, minlength=int(plain.sum()))
         picks, split = np.empty(int(each.sum()), np.int64), np.repeat(plain, each)
         picks[split] = parts.indices.to_numpy()
-        picks[~split] = np.arange(len(names), len(ids))
-        values, ends = gathered(values, counts, picks)
-        return values, np.diff(np.append(0, ends)[np.append(0, np.cumsum(each))])
+        picks[~split] = np.arange(known, len(counts))
+        found, ends = gathered(np.array(values, kind), np.array(counts, np.int64), picks)
+        return found, np.diff(np.append(0, ends)[np.append(0, np.cumsum(each))])
 
     return make
 

@@ -316,6 +316,16 @@ def test_batches_of_texts_look_each_word_up_once(edge, small):
     assert [len(x) for x in encoder.batch(pa.array([], pa.string()), 1)] == [0, 0]
 
 
+def test_more_words_than_are_split_at_once():
+    from tokenizers import Tokenizer
+
+    n = pfor.SOME + 5000
+    texts = [" ".join(f"w{chr(97 + k % 26)}{k}" for k in range(n)), " ".join(f"я{k}" for k in range(50)), " ".join(f"w{chr(97 + k % 26)}{k}" for k in range(n - 1, -1, -7))]
+    ids, sizes = pfor.Encoder(vocabulary()).batch(pa.array(texts))
+    want = [t.ids for t in Tokenizer.from_file(vocabulary()).encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_token_blocks_round_trip(none):
     rng = np.random.default_rng(0)
     for ids in (np.empty(0, int), np.zeros(3, int), rng.integers(0, 49408, 5000), np.where(rng.random(2000) < 0.02, 49407, rng.integers(7, 40, 2000)), rng.integers(0, 2**32, 700)):
