@@ -25,6 +25,23 @@ def feature_baseline(reference: DataFrame) -> dict[str, float | str]:
     return base
 
 
+def baselines_without(reference: DataFrame, fold: str, folds: int) -> list[dict[str, float | str]]:
+    """For each fold the :func:`feature_baseline` of the rows outside it, in the passes of one."""
+    part = F.col(fold)
+    wide = reference.select(*[F.when(part != f, F.col(c)).alias(f"{c}_{f}") for f in range(folds) for c in NUMERIC_FEATURES])
+    medians = exact_quantiles(wide, wide.columns, [0.5])
+    out: list[dict[str, float | str]] = [
+        {c: medians[f"{c}_{f}"][0] if medians[f"{c}_{f}"] else 0.0 for c in NUMERIC_FEATURES} for f in range(folds)]
+    for c in CATEGORICAL_FEATURES:
+        counts = reference.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(
+            *[F.count_if(part != f).alias(f"n{f}") for f in range(folds)])
+        top = counts.agg(*[
+            F.min_by("v", F.when(F.col(f"n{f}") > 0, F.struct(-F.col(f"n{f}"), F.col("v")))) for f in range(folds)]).first()
+        for base, v in zip(out, top):
+            base[c] = v if v is not None else "unknown"
+    return out
+
+
 def baseline_table(reference: DataFrame) -> DataFrame:
     base = feature_baseline(reference)
     rows = [(c, float(v), None) if c in NUMERIC_FEATURES else (c, None, v) for c, v in base.items()]
