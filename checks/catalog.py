@@ -90,8 +90,8 @@ def _raw_with_order(t: Tables) -> DataFrame:
 def ingest_batch(t: Tables) -> DataFrame:
     """Two uploads: the items up to 1999, then everything (the earlier orders are existing)."""
     ws, rows = _workspace(t), _raw_with_order(t)
-    ingest.ingest_items(ws, rows.filter(F.col("created_at") < "2000"), "b1", "first.csv", "k1", datetime(2002, 1, 1))
-    ingest.ingest_items(ws, rows, "b2", "second.csv", "k2", datetime(2002, 1, 2))
+    ingest.ingest_items(ws, rows.filter(F.col("created_at") < "2000"), "b1", "first.csv", "k1", datetime(2002, 1, 1), prepared=True)
+    ingest.ingest_items(ws, rows, "b2", "second.csv", "k2", datetime(2002, 1, 2), prepared=True)
     return shown(ws.snapshot().select(
         "order_id", "created_at", "customer_id", "grand_total", "is_canceled", "prev_orders", "prev_cancellations", "customer_cancel_rate"))
 
@@ -781,8 +781,9 @@ def stratified_sample(t: Tables) -> DataFrame:
 
 @query
 def risk_drivers(t: Tables) -> DataFrame:
-    base = explain.feature_baseline(t.history)
-    found = explain.risk_drivers(t.history, scoring.softsign_score, base)
+    orders = stored(t.history, "history")
+    base = explain.feature_baseline(orders)
+    found = explain.risk_drivers(orders, scoring.softsign_score, base)
     return shown(found.select("order_id", F.posexplode("drivers").alias("place", "d")).select(
         "order_id", "place", "d.feature", "d.impact"), 9)
 

@@ -52,6 +52,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """From now on the shuffle files of a query go when it ends. Otherwise they stay until the driver happens to collect
+    its garbage, and a job of many steps holds those of all its steps."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
@@ -60,7 +66,8 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    release_shuffles(spark)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
