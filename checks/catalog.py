@@ -112,8 +112,8 @@ def _two_versions(t: Tables) -> Workspace:
     orders = stored(t.history, "history")
     report = t.spark.createDataFrame([("required_columns", "PASS", 0, "Nothing is absent")], validation.REPORT_SCHEMA)
     rejected = ingest.appended_quarantine([validation.quarantined_rows(t.checked)])
-    ws.write_version("v001", orders.filter(F.col("created_at") < "2000"), rejected.limit(0), report, "b1", datetime(2002, 1, 1))
-    ws.write_version("v002", orders, rejected, report, "b2", datetime(2002, 1, 2))
+    ws.write_version("v001", orders.filter(F.col("created_at") < "2000"), rejected.limit(0), report, "b1", datetime(2002, 1, 1), prepared=True)
+    ws.write_version("v002", orders, rejected, report, "b2", datetime(2002, 1, 2), prepared=True)
     return ws
 
 

@@ -45,7 +45,7 @@ def write_parts(spark: SparkSession, orders: DataFrame, buckets: int, path: str)
     """Write ``orders`` by bucket under ``path``: manifest rows. A hot bucket is split over tasks and files."""
     types = {f.split()[0]: f.split()[1] for f in SNAPSHOT.split(",")}
     rows = orders.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()], bucket_of(F.col("customer_id"), buckets).alias("bucket"))
-    rows.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(path)
+    rows.hint("rebalance", F.col("bucket")).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
     written = spark.read.schema(f"{SNAPSHOT}, bucket INT").parquet(path) if _any_parts(spark, path) else None
     counts = written.groupBy("bucket").count().collect() if written is not None else []
     return [(r["bucket"], buckets, f"{path}/bucket={r['bucket']}", r["count"]) for r in counts]

@@ -116,17 +116,17 @@ class Workspace:
 
     def write_version(
         self, version: str, snapshot: DataFrame, quarantine: DataFrame, report: DataFrame,
-        batch_id: str, at, sample: bool = False, unique_orders: bool = False,
+        batch_id: str, at, sample: bool = False, unique_orders: bool = False, prepared: bool = False,
     ) -> dict:
         """Immutable snapshot, quarantine CSV and report JSON, then one version row. Being the
         newest full version makes it the active one. ``unique_orders`` says that the snapshot
-        holds one row per order, which saves a distinct count.
+        holds one row per order, which saves a distinct count; ``prepared`` that it is a stored table, which saves a copy.
 
         The version row publishes the files: they lie under names of their own, so what an
         unfinished run left is never read."""
         if not self.ledger("dataset_versions").filter(F.col("dataset_version") == version).isEmpty():
             raise ValueError(f"Version {version} is already published.")
-        snapshot = stored(snapshot, "snapshot")
+        snapshot = snapshot if prepared else stored(snapshot, "snapshot")
         path = self.path("parts", f"{version}-{uuid.uuid4().hex}")
         parts = write_parts(self.spark, snapshot, buckets_for(snapshot.count()), path)
         orders = None if unique_orders else snapshot.agg(F.count_distinct("order_id")).first()[0]

@@ -32,3 +32,14 @@ def test_a_stored_batch_is_not_written_again(spark, workspace):
     assert done["status"] == "success" and folders() == before
     ingest_items(workspace, rows.filter("false"), "b2", "second.csv", "k2", datetime(2024, 1, 2))
     assert len(folders() - before) == 1
+
+
+def test_a_stored_snapshot_is_not_written_again(spark, workspace):
+    from orderlight.operators.validation import REPORT_SCHEMA
+    from tests.test_models import snapshot
+
+    folders = lambda: {n for n in os.listdir(scratch_root(spark).removeprefix("file:")) if n.startswith("snapshot-")}
+    orders, before = stored(snapshot(spark, 100)), folders()
+    rejected, report = spark.createDataFrame([], "quarantine_reason STRING"), spark.createDataFrame([], REPORT_SCHEMA)
+    size = workspace.write_version("v1", orders, rejected, report, "b", datetime(2024, 1, 1), prepared=True)
+    assert folders() == before and size["row_count"] == orders.count() == workspace.snapshot("v1").count()
